@@ -40,3 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and checkpoints that no live plan needs any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
