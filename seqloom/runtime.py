@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: str | None = None
+
 
 def session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
@@ -27,18 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset (local tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        global _own
+        _own = _own or tempfile.mkdtemp(prefix="seqloom-checkpoint-")
+        named = _own
+    return named
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
-    The folder is the one ``spark.checkpoint.dir`` names; a folder of our own is set only where
-    neither the setting nor the context has one (local tests). Never a local checkpoint: rows
-    outlive the executor that made them.
+    Never a local checkpoint: rows outlive the executor that made them.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
