@@ -307,7 +307,9 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         hot = cut(_segment_texts(rows, shared.where(F.col("kinds") > HOT)))
         once = distinct.where("c = 1").select("h", "dg")
         marks = marks.unionAll(_counted(hot).join(once, ["h", "dg"], "left_semi"))
+        del hot, once
     marks = cut(marks)
+    del distinct, shared, kinds, twice  # their checkpoints are not needed any more
     release(spark)
     place = (F.col("at") / 256).cast("bigint")
     spans = F.transform(F.col("found"), lambda x, i: F.when(i % 2 == 0, place + x).otherwise(place + x + F.lit(LENGTH - 1)))
