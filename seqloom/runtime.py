@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -43,26 +43,40 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
-    Never a local checkpoint: rows outlive the executor that made them. The shuffle files of
-    ``df`` go as soon as its rows are written, since nothing reads them again.
+    Never a local checkpoint: rows outlive the executor that made them.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+    return df.checkpoint(eager=True)
+
+
+class Kept:
+    """``df`` written as Parquet to the shared folder: a compressed lineage cut that is dropped by hand."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/kept-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Deletes the files; nothing computed from ``df`` later can be read any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files and checkpoints that no live plan needs any more."""
+    """Lets Spark drop shuffle files and checkpoints that no live plan needs any more.
+
+    Spark frees them when the driver's collector finds their handles dead; a small job first, since the
+    scheduler's threads hold on to the last one they ran.
+    """
     import gc
+    import time
 
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    time.sleep(1.5)  # Python's side tells the JVM of dead handles about once a second
+    for _ in range(2):
+        spark.range(2).repartition(1).count()
+        spark.sparkContext._jvm.System.gc()
