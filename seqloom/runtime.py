@@ -75,8 +75,8 @@ def release(spark: SparkSession) -> None:
     import gc
     import time
 
-    gc.collect()
-    time.sleep(1.5)  # Python's side tells the JVM of dead handles about once a second
-    for _ in range(2):
+    for _ in range(3):
+        gc.collect()
+        time.sleep(0.7)  # Python's side tells the JVM of dead handles about once a second
         spark.range(2).repartition(1).count()
         spark.sparkContext._jvm.System.gc()
