@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.llm.arrow import documents, map_batches, map_sorted_groups, mix64, texts
-from seqloom.runtime import cut, release
+from seqloom.runtime import Kept, cut, release
 
 LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1  # places of a K-byte string in a window
-HOT = 256
+HOT = 4096  # about 1.2 MB of segments: an anchor's own block stays below BLOCK_BYTES
 PART = 6 << 20  # bytes handled at once
 PLACE = (1 << 24) - 1
 BLOCK_BYTES = 2 << 20
@@ -296,10 +296,11 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     twice = occurrences(rows, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     kept = cut(occurrences(rows, True).join(twice, "h"))
     release(spark)
-    distinct = kept.groupBy("h", "dg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("at").alias("at"))
-    distinct = cut(distinct)
+    all_distinct = Kept(kept.groupBy("h", "dg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("at").alias("at")))
+    distinct = all_distinct.df
     kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    shared = cut(distinct.join(kinds, "h"))
+    all_shared = Kept(distinct.join(kinds, "h"))
+    shared = all_shared.df
     release(spark)
     marks = distinct.where("c > 1").select("h", "dg", F.array(F.lit(0), F.pmod("at", F.lit(256)).cast("int")).alias("found"))
     marks = marks.unionAll(_indexed(_segment_texts(rows, shared.where(F.col("kinds") <= HOT))))
@@ -309,7 +310,8 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
         marks = marks.unionAll(_counted(hot).join(once, ["h", "dg"], "left_semi"))
         del hot, once
     marks = cut(marks)
-    del distinct, shared, kinds, twice  # their checkpoints are not needed any more
+    all_distinct.drop()
+    all_shared.drop()
     release(spark)
     place = (F.col("at") / 256).cast("bigint")
     spans = F.transform(F.col("found"), lambda x, i: F.when(i % 2 == 0, place + x).otherwise(place + x + F.lit(LENGTH - 1)))
