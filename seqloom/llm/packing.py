@@ -19,6 +19,7 @@ tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -45,21 +46,31 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.bpe = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        found = self[piece] = array("I", [t.id for t in self.bpe(letters)]).tobytes()
+        return found
+
     def of(self, texts: list[str]) -> list[bytes]:
         pieces = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        new = list({p for found in pieces if found for p in found} - self.keys())
-        if len(self) + len(new) > CACHE:
+        if len(self) > CACHE:
             self.clear()
-            new = list({p for found in pieces if found for p in found})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            self.update(zip(part, (raw(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
         get = self.__getitem__
         return [raw(self.tokenizer.encode(t, add_special_tokens=False).ids) if found is None else b"".join(map(get, found)) for t, found in zip(texts, pieces)]
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte -> its letter in the byte-level alphabet: printable ones stand for themselves, the others
+    follow from code point 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
 def raw(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
