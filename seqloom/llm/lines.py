@@ -2,7 +2,7 @@
 
 Lines (split at \\n; white-space-only lines are left alone) are first grouped exactly. Every distinct line
 with at least ``Q`` characters gets MinHash values over its character shingles, in ``BANDS`` bands of
-``ROWS``: a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^2)^6 = 0.998. Lines that share
+``ROWS``: a pair at Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^2)^5 = 0.994. Lines that share
 a band are compared by exact Jaccard over their shingle sets; links go to distributed star contraction.
 Of each component one line stays: the one with the least (first document, line hash); in that
 document, its first occurrence.
@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqloom.llm.arrow import documents, map_batches, map_sorted_groups, mix64
 from seqloom.llm.buckets import group_numbers, pair_groups
 from seqloom.operators.components import connected_components
-from seqloom.runtime import cut, release
+from seqloom.runtime import Kept, cut, release
 
-Q, BANDS, ROWS, SIMILARITY = 8, 6, 2, 0.8
+Q, BANDS, ROWS, SIMILARITY = 8, 5, 2, 0.8
 LIMIT = 512
 
 
@@ -127,7 +127,8 @@ def fuzzy_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
 def lines_to_drop(docs: DataFrame) -> DataFrame:
     """(doc_id, drop: the hashes of the lines that do not stay in this document)."""
     rows = line_rows(docs)
-    distinct = cut(rows.groupBy("lid", "line").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")))
+    all_distinct = Kept(rows.groupBy("lid", "line").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")))
+    distinct = all_distinct.df
     release(docs.sparkSession)
     parts = connected_components(fuzzy_links(distinct))
     release(docs.sparkSession)
@@ -138,13 +139,15 @@ def lines_to_drop(docs: DataFrame) -> DataFrame:
     exact = places.where("n > 1").join(decided, "lid", "left_anti").select("lid", F.col("first_doc").alias("keep_doc"))
     verdict = decided.unionAll(exact)
     here = rows.select("lid", "doc_id").distinct().join(verdict, "lid").where("not (doc_id <=> keep_doc)")
-    return here.groupBy("doc_id").agg(F.collect_list("lid").alias("drop"))  # at most a text's lines
+    drops = cut(here.groupBy("doc_id").agg(F.collect_list("lid").alias("drop")))  # at most a text's lines
+    all_distinct.drop()
+    return drops
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(row: struct of the input columns, kept: the remaining text, n_lines, n_kept), one row per input row."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drops = cut(lines_to_drop(packed.select("doc_id", "text")))
+    drops = lines_to_drop(packed.select("doc_id", "text"))
     release(docs.sparkSession)
 
     @F.pandas_udf("kept string, n_lines bigint, n_kept bigint")
