@@ -158,7 +158,7 @@ class RunIndex:
             width *= 2
             levels.append((width, rank))
         self.depth = width
-        before = text[order - 1]  # the transform; the text's first suffix takes its last symbol
+        before = np.where(order > 0, text[order - 1], -1)  # the transform; nothing stands before the first suffix
         new = np.ones(n, dtype=bool)
         new[1:] = before[1:] != before[:-1]
         self.starts = np.flatnonzero(new)
