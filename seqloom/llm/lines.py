@@ -69,27 +69,39 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + Q] for i in range(len(line) - Q + 1)}
 
 
+def _bitmaps(sets: list[set[str]]) -> np.ndarray:
+    """(lines, 16) uint64: every shingle sets one of 1,024 bits."""
+    held = np.zeros((len(sets), 1024), dtype=np.uint8)
+    for row, found in zip(held, sets):
+        row[[hash(x) & 1023 for x in found]] = 1
+    return np.packbits(held, axis=1).view(np.uint64)
+
+
 def links_in_bucket(lines: list[str], similarity: float = SIMILARITY) -> list[int]:
-    """For each line the first line of its component under exact Jaccard links."""
+    """For each line the first line of its component under exact Jaccard links.
+
+    Sizes and bitmaps rule pairs out first, soundly: a bit that only one line has stands for at least one
+    shingle that only it has. What is left is compared exactly.
+    """
     sets = [shingles(x) for x in lines]
-    label = list(range(len(lines)))
-    pool = list(range(len(lines)))
-    while pool:
-        frontier = [pool.pop(0)]
-        root = frontier[0]
-        while frontier and pool:
-            a = sets[frontier.pop()]
-            rest = []
-            for k in pool:
-                b = sets[k]
-                small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
-                if small >= similarity * large and (both := len(a & b)) >= similarity * (small + large - both):
-                    label[k] = root
-                    frontier.append(k)
-                else:
-                    rest.append(k)
-            pool = rest
-    return label
+    size, bits = np.array([len(x) for x in sets]), _bitmaps(sets)
+    label = np.arange(len(lines))
+    pool = np.arange(len(lines))
+    while len(pool):
+        root, pool = int(pool[0]), pool[1:]
+        frontier = [root]
+        while frontier and len(pool):
+            k = frontier.pop()
+            both = similarity / (1 + similarity) * (size[k] + size[pool]) - 1e-9  # least intersection
+            maybe = np.minimum(size[k], size[pool]) >= both
+            maybe &= np.bitwise_count(bits[k] & ~bits[pool]).sum(1) <= size[k] - both
+            maybe &= np.bitwise_count(~bits[k] & bits[pool]).sum(1) <= size[pool] - both
+            near = [j for j in np.flatnonzero(maybe) if len(sets[k] & sets[pool[j]]) >= both[j]]
+            if near:
+                label[pool[near]] = root
+                frontier += pool[near].tolist()
+                pool = np.delete(pool, near)
+    return label.tolist()
 
 
 def fuzzy_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
