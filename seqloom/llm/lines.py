@@ -18,6 +18,8 @@ columns pass through untouched, whatever their names. Lines are told apart by 64
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,30 +39,41 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "").select(F.xxhash64("line").alias("lid"), "line", "doc_id")
 
 
-def signatures(lines: list[str], seed: int = 9) -> np.ndarray:
-    """(lines, BANDS) int64 band keys; every line has at least Q characters."""
+def blocks(lines: list[str], most: int = 60_000) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of lines with about ``most`` characters together: their arrays stay in the processor's cache."""
+    first, held = 0, 0
+    for k, line in enumerate(lines, 1):
+        held += len(line)
+        if held >= most or k == len(lines):
+            yield first, k
+            first, held = k, 0
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a hash of the Q characters from every place, starts, ends): line k's shingles lie at [starts[k], ends[k]).
+
+    The lines are laid end to end; what lies between those stretches crosses into the next line. Every line has
+    at least Q characters.
+    """
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    h, step = codes, 1
+    h, step = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1), 1
     for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):  # Q = 8 characters by doubling
         h = h[:-step] * np.uint64(factor) + h[step:]
         step *= 2
-    h = mix64(h)
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    # shingles that cross into the next line never win: they hash to the largest value
-    cross = np.zeros(len(codes), dtype=bool)
-    for k in range(1, Q):
-        cross[ends - k] = True
-    cross = cross[: len(h)]
+    return mix64(h), ends - sizes, ends - (Q - 1)
+
+
+def signatures(lines: list[str], seed: int = 9) -> np.ndarray:
+    """(lines, BANDS) int64 band keys; every line has at least Q characters."""
     multipliers = np.random.default_rng(seed).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     out = np.zeros((len(lines), BANDS), dtype=np.uint64)
-    for k, m in enumerate(multipliers):
-        values = h * m
-        values ^= values >> np.uint64(29)
-        values[cross] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        least = np.minimum.reduceat(values, starts)
-        out[:, k // ROWS] = out[:, k // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least
+    for a, b in blocks(lines):
+        h, starts, ends = shingle_hashes(lines[a:b])
+        edges = np.stack([starts, ends], 1).ravel()[:-1]
+        for k, m in enumerate(multipliers):
+            least = np.minimum.reduceat(h * m, edges)[::2]
+            out[a:b, k // ROWS] = out[a:b, k // ROWS] * np.uint64(0xD6E8FEB86659FD93) + least
     out += np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix64(out).view(np.int64)
 
@@ -69,34 +82,47 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + Q] for i in range(len(line) - Q + 1)}
 
 
-def _bitmaps(sets: list[set[str]]) -> np.ndarray:
+def bitmaps(lines: list[str]) -> np.ndarray:
     """(lines, 16) uint64: every shingle sets one of 1,024 bits."""
-    held = np.zeros((len(sets), 1024), dtype=np.uint8)
-    for row, found in zip(held, sets):
-        row[[hash(x) & 1023 for x in found]] = 1
-    return np.packbits(held, axis=1).view(np.uint64)
-
-
-def links_in_bucket(lines: list[str], similarity: float = SIMILARITY) -> list[int]:
+    out = np.zeros((len(lines), 16), dtype=np.uint64)
+    for a, b in blocks(lines):
+        h, starts, ends = shingle_hashes(lines[a:b])
+        line = np.repeat(np.arange(b - a), ends - starts)
+        place = np.arange(len(line)) + np.repeat(starts - np.cumsum(ends - starts) + (ends - starts), ends - starts)
+        held = np.zeros((b - a) * 1024, dtype=np.uint8)
+        held[line * 1024 + (h[place] >> np.uint64(54)).astype(np.int64)] = 1
+        out[a:b] = np.packbits(held.reshape(b - a, 1024), axis=1).view(np.uint64)
+    return out
+
+
+def links_in_bucket(lines: list[str], bits: np.ndarray | None = None, similarity: float = SIMILARITY) -> list[int]:
     """For each line the first line of its component under exact Jaccard links.
 
-    Sizes and bitmaps rule pairs out first, soundly: a bit that only one line has stands for at least one
-    shingle that only it has. What is left is compared exactly.
+    Bitmaps rule pairs out first, soundly: every bit that just one of two lines has stands for at least one shingle
+    that just one of them has, and no more shingles are shared than the shorter line has places. What is left is
+    compared exactly.
     """
-    sets = [shingles(x) for x in lines]
-    size, bits = np.array([len(x) for x in sets]), _bitmaps(sets)
-    label = np.arange(len(lines))
-    pool = np.arange(len(lines))
+    bits = bitmaps(lines) if bits is None else bits
+    places = np.array([len(x) - Q + 1 for x in lines])
+    sets: dict[int, set[str]] = {}
+
+    def shingles_of(k: int) -> set[str]:
+        if k not in sets:
+            sets[k] = shingles(lines[k])
+        return sets[k]
+
+    def similar(k: int, j: int) -> bool:
+        a, b = shingles_of(k), shingles_of(j)
+        return min(len(a), len(b)) >= similarity * max(len(a), len(b)) - 1e-9 and len(a & b) >= similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9
+
+    label, pool = np.arange(len(lines)), np.arange(len(lines))
     while len(pool):
         root, pool = int(pool[0]), pool[1:]
         frontier = [root]
         while frontier and len(pool):
             k = frontier.pop()
-            both = similarity / (1 + similarity) * (size[k] + size[pool]) - 1e-9  # least intersection
-            maybe = np.minimum(size[k], size[pool]) >= both
-            maybe &= np.bitwise_count(bits[k] & ~bits[pool]).sum(1) <= size[k] - both
-            maybe &= np.bitwise_count(~bits[k] & bits[pool]).sum(1) <= size[pool] - both
-            near = [j for j in np.flatnonzero(maybe) if len(sets[k] & sets[pool[j]]) >= both[j]]
+            maybe = np.bitwise_count(bits[k] ^ bits[pool]).sum(1) <= (1 / similarity - 1) * np.minimum(places[k], places[pool]) + 1e-9
+            near = [j for j in np.flatnonzero(maybe) if similar(k, int(pool[j]))]
             if near:
                 label[pool[near]] = root
                 frontier += pool[near].tolist()
@@ -104,19 +130,33 @@ def links_in_bucket(lines: list[str], similarity: float = SIMILARITY) -> list[in
     return label.tolist()
 
 
+def links_in_buckets(lines: list[str], edges: list[int]) -> Iterator[tuple[int, int]]:
+    """(first line of its component, line) for the lines of buckets [edges[n], edges[n + 1]); buckets of two
+    lines, the most by far, are ruled out all at once."""
+    bits = bitmaps(lines)
+    places = np.array([len(x) - Q + 1 for x in lines])
+    at = np.array(edges)
+    two = at[:-1][np.diff(at) == 2]
+    apart = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(1) > (1 / SIMILARITY - 1) * np.minimum(places[two], places[two + 1]) + 1e-9
+    done = set(two[apart].tolist())
+    for a, b in zip(edges, edges[1:]):
+        if b - a > 1 and a not in done:
+            for k, first in enumerate(links_in_bucket(lines[a:b], bits[a:b])):
+                if first != k:
+                    yield a + first, a + k
+
+
 def fuzzy_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(lid, line) -> (a, b): links that span every component of similar lines."""
 
-    def banded(batch: pa.RecordBatch) -> dict | None:
+    def banded(batch: pa.RecordBatch) -> dict:
         lid, lines = batch.column("lid").to_numpy(), batch.column("line").to_pylist()
-        if not lines:
-            return None
-        keys = np.concatenate([signatures(lines[k : k + 20_000]) for k in range(0, len(lines), 20_000)])
-        return {"band": pa.array(keys.ravel()), "lid": pa.array(np.repeat(lid, BANDS))}
+        return {"band": pa.array(signatures(lines).ravel()), "lid": pa.array(np.repeat(lid, BANDS))}
 
-    bands = map_batches(distinct.where(F.length("line") >= Q).select("lid", "line"), banded, "band bigint, lid bigint")
-    groups = pair_groups(bands, ["band"], "lid", limit)
+    bands = Kept(map_batches(distinct.where(F.length("line") >= Q).select("lid", "line"), banded, "band bigint, lid bigint"))
+    groups = pair_groups(bands.df, ["band"], "lid", limit)
     met = cut(groups.select("band", "lo", "hi", "lid"))
+    bands.drop()
     release(distinct.sparkSession)
     texts = met.join(distinct.select("lid", "line"), "lid")
     dealt = texts.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "lid")
@@ -124,13 +164,8 @@ def fuzzy_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
     def compare(table: pa.Table) -> dict:
         of = group_numbers([table[c].to_numpy() for c in ("band", "lo", "hi")])
         edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-        lines, lid = table["line"].to_pylist(), table["lid"].to_pylist()
-        pairs = set()
-        for a, b in zip(edges, edges[1:]):
-            if b - a > 1:
-                for k, first in enumerate(links_in_bucket(lines[a:b])):
-                    if first != k:
-                        pairs.add((lid[a + first], lid[a + k]))
+        lid = table["lid"].to_pylist()
+        pairs = {(lid[a], lid[b]) for a, b in links_in_buckets(table["line"].to_pylist(), edges)}
         return {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
 
     return map_sorted_groups(dealt.select("band", "lo", "hi", "lid", "line"), ["band", "lo", "hi"], compare, "a bigint, b bigint", most_rows=20_000)
