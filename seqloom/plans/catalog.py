@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from seqloom.functions import distances, text as txt
 from seqloom.operators import curation, retrieval, windows
 from seqloom.runtime import table
+from seqloom.streaming import run, steppers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -580,3 +581,45 @@ def neighbor_resolution(spark, d):
 def ordered_concat(spark, d):
     """Ordered concatenation of parts."""
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), " ").alias("roles"))
+
+
+# ---- state machines (order-dependent folds: no SQL; held against hand traces and batch == stream) --------------
+
+#: The canonical order of event letters for successor rules.
+AFTER = {"c": "e", "e": "p", "p": "s", "s": "v"}
+
+
+def _ranked(spark, d):
+    return events(spark, d).select("user_id", "ts", "event_id", F.col("tok").alias("key"), (1 / (1 + F.col("value"))).alias("cost"), (F.col("value") / 100).alias("margin"))
+
+
+@query()
+def sliding_events(spark, d):
+    """T4: detect, advance and jump events of every stream."""
+    return run.fold(_ranked(spark, d), "user_id", _ORDER, steppers.Segmenter(AFTER))
+
+
+@query()
+def commit_revise(spark, d):
+    """Commits and their revisions (short runs, for five tokens only)."""
+    return run.fold(_ranked(spark, d), "user_id", _ORDER, steppers.Commit(0.02, 2, 3))
+
+
+@query()
+def chain_assemble(spark, d):
+    """The lines each supplier ships, in order of shipping, assembled to chains of an order's lines."""
+    units = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", F.col("l_orderkey").cast("string").alias("parent"), F.col("l_linenumber").cast("int").alias("place"))
+    return run.fold(units, "l_suppkey", ["l_shipdate", "parent", "place"], steppers.Assemble({}))
+
+
+@query(f"SELECT user_id, i - 1 AS at, tok AS token FROM (SELECT *, lag(tok) OVER (PARTITION BY user_id ORDER BY i) AS p FROM ({_STREAM})) WHERE (p IS NULL OR p <> tok) AND tok <> 'v'")
+def collapse_carry(spark, d):
+    """The collapse as a fold with a carried token; SQL says it with a window."""
+    return run.fold(events(spark, d).select("user_id", "ts", "event_id", F.col("tok").alias("token")), "user_id", _ORDER, steppers.Collapse("v"))
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS w0, date_trunc('hour', ts) + INTERVAL 1 HOUR AS w1, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_counts(spark, d):
+    """Event-time windows, by the plan that also runs on streams."""
+    out = run.hopping_counts(table(spark, d, "events"), "ts", ["user_id"], "1 hour", "1 hour", "1 hour")
+    return out.withColumn("w0", F.col("w0").cast("timestamp_ntz")).withColumn("w1", F.col("w1").cast("timestamp_ntz"))
