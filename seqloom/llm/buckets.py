@@ -6,15 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 
-def pair_groups(rows: DataFrame, keys: list[str], by: str, limit: int) -> DataFrame:
+def pair_groups(rows: DataFrame, keys: list[str], by: str, limit: int, once: bool = False) -> DataFrame:
     """``rows`` with (chunk, lo, hi): rows that share ``keys`` meet in at least one group (keys, lo, hi).
 
     Keys with one row are dropped. A key with more than ``limit`` rows is split by hash of ``by`` into
     c chunks and each row goes to c groups, one for each pair of chunks with its own; a group then holds
     about 2 * limit rows at most. Counting is a grouped sum, the join against it (one row a key) is one
     Spark can split. The result is partitioned by group and sorted by it.
+
+    With ``once``, keys whose buckets hold the same rows (equal count, least, largest and xor of hashes of ``by``)
+    are compared under one of them only: the others could find nothing new.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("bucket_rows")).where("bucket_rows > 1")
+    marks = [F.min(by).alias("least"), F.max(by).alias("most"), F.bit_xor(F.xxhash64(by)).alias("mark")] if once else []
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("bucket_rows"), *marks).where("bucket_rows > 1")
+    if once:
+        counts = counts.groupBy("bucket_rows", "least", "most", "mark").agg(F.min(F.struct(*keys)).alias("key")).select("key.*", "bucket_rows")
     chunks = F.ceil(F.col("bucket_rows") / F.lit(limit)).cast("int")
     met = rows.join(counts, keys).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -19,6 +19,7 @@ columns pass through untouched, whatever their names. Lines are told apart by 64
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +79,14 @@ def signatures(lines: list[str], seed: int = 9) -> np.ndarray:
     return mix64(out).view(np.int64)
 
 
+@lru_cache(maxsize=1024)
+def _places(n: int) -> list[slice]:
+    return [slice(k, k + Q) for k in range(n)]
+
+
 def shingles(line: str) -> set[str]:
-    return {line[i : i + Q] for i in range(len(line) - Q + 1)}
+    n = len(line) - Q + 1
+    return set(map(line.__getitem__, _places(n))) if n < 2000 else {line[k : k + Q] for k in range(n)}
 
 
 def bitmaps(lines: list[str]) -> np.ndarray:
@@ -154,12 +161,13 @@ def fuzzy_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
         return {"band": pa.array(signatures(lines).ravel()), "lid": pa.array(np.repeat(lid, BANDS))}
 
     bands = Kept(map_batches(distinct.where(F.length("line") >= Q).select("lid", "line"), banded, "band bigint, lid bigint"))
-    groups = pair_groups(bands.df, ["band"], "lid", limit)
+    groups = pair_groups(bands.df, ["band"], "lid", limit, once=True)
     met = cut(groups.select("band", "lo", "hi", "lid"))
     bands.drop()
     release(distinct.sparkSession)
-    texts = met.join(distinct.select("lid", "line"), "lid")
-    dealt = texts.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "lid")
+    texts = Kept(met.join(distinct.select("lid", "line"), "lid"))  # so the join's shuffle can go before the next one
+    release(distinct.sparkSession)
+    dealt = texts.df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "lid")
 
     def compare(table: pa.Table) -> dict:
         of = group_numbers([table[c].to_numpy() for c in ("band", "lo", "hi")])
@@ -168,7 +176,9 @@ def fuzzy_links(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
         pairs = {(lid[a], lid[b]) for a, b in links_in_buckets(table["line"].to_pylist(), edges)}
         return {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
 
-    return map_sorted_groups(dealt.select("band", "lo", "hi", "lid", "line"), ["band", "lo", "hi"], compare, "a bigint, b bigint", most_rows=20_000)
+    links = cut(map_sorted_groups(dealt.select("band", "lo", "hi", "lid", "line"), ["band", "lo", "hi"], compare, "a bigint, b bigint", most_rows=20_000))
+    texts.drop()
+    return links
 
 
 def lines_to_drop(docs: DataFrame) -> DataFrame:
