@@ -34,10 +34,10 @@ from seqloom.runtime import Kept, cut, release
 
 LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1  # places of a K-byte string in a window
-HOT = 4096  # about 1.2 MB of segments: an anchor's own block stays below BLOCK_BYTES
+HOT = 4096  # at most 1.5 MB of segments
 PART = 6 << 20  # bytes handled at once
 PLACE = (1 << 24) - 1
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19  # an index takes about 150 times that of memory; a single anchor may go beyond it
 
 
 def string_hashes(data: np.ndarray) -> np.ndarray:
@@ -145,16 +145,24 @@ class RunIndex:
         packed = np.zeros(n, np.int64)
         for j in range(self.WORD):
             packed = (packed << 9) | padded[j : j + n]
-        levels, width = [], self.WORD
-        order = np.argsort(packed, kind="stable")
-        rank = self._ranks(packed, order)
-        levels.append((width, rank))
+        order = np.argsort(packed)
+        place = np.arange(n)
+        rank = np.empty(n, np.int32)
+        rank[order] = self._heads(packed[order], place)
+        levels, width = [(self.WORD, rank)], self.WORD
         while width < LENGTH:
-            after = np.zeros(n, np.int64)
-            after[: n - width] = rank[width:] + 1
-            key = rank.astype(np.int64) * (n + 1) + after
-            order = np.argsort(key, kind="stable")
-            rank = self._ranks(key, order)
+            at = rank[order]  # rows in groups of more than one are sorted on, the others have their place
+            alone = np.ones(n, dtype=bool)
+            alone[1:] = at[1:] != at[:-1]
+            alone[:-1] &= alone[1:].copy()
+            rows = np.flatnonzero(~alone)
+            tied = order[rows]
+            after = np.where(tied + width < n, rank[np.minimum(tied + width, n - 1)] + 1, 0)
+            key = rank[tied].astype(np.int64) * (n + 1) + after
+            by = np.argsort(key)
+            order[rows] = tied[by]
+            rank = rank.copy()
+            rank[tied[by]] = self._heads(key[by], rows)
             width *= 2
             levels.append((width, rank))
         self.depth = width
@@ -175,13 +183,11 @@ class RunIndex:
         self.shared = np.tile(self._common(levels, text, here, above), 2)
 
     @staticmethod
-    def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        sorted_key = key[order]
-        step = np.zeros(len(key), np.int32)
-        step[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(len(key), np.int32)
-        rank[order] = np.cumsum(step)
-        return rank
+    def _heads(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For sorted keys in ``rows``: the row of the first one equal to each."""
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        return rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
 
     def _common(self, levels: list, text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix lengths of the suffixes at ``a`` and ``b``, up to the depth."""
