@@ -25,6 +25,8 @@ give empty results; other columns are ignored. 64-bit hashes are paired (anchor
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -232,22 +234,23 @@ def ranges(flags: np.ndarray) -> list[int]:
 
 
 def _segment_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, dg, c, rk, at) -> (h, dg, c, seg): the bytes of one copy of each segment."""
-    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "dg", "c", "at")).alias("segs"))  # bounded by a text's length
+    """(h, dg, c, rk, at, kinds) -> (h, dg, c, kinds, seg): the bytes of one copy of each segment."""
+    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "dg", "c", "kinds", "at")).alias("segs"))  # bounded by a text's length
 
     def make(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"h": [], "dg": [], "c": [], "seg": []}
+        out: dict[str, list] = {"h": [], "dg": [], "c": [], "kinds": [], "seg": []}
         for text, segs in zip(texts(batch), batch.column("segs").to_pylist()):
             for s in segs:
                 place, count = divmod(s["at"], 256)
                 out["h"].append(s["h"])
                 out["dg"].append(s["dg"])
                 out["c"].append(s["c"])
+                out["kinds"].append(s["kinds"])
                 out["seg"].append(text[place : place + count + LENGTH - 1])
         return out
 
     one = rows.join(lists, "rk").select("text", "segs", "rk")
-    return map_batches(one, make, "h bigint, dg bigint, c bigint, seg binary")
+    return map_batches(one, make, "h bigint, dg bigint, c bigint, kinds bigint, seg binary")
 
 
 def _indexed(segs: DataFrame) -> DataFrame:
@@ -274,8 +277,8 @@ def _indexed(segs: DataFrame) -> DataFrame:
     return map_sorted_groups(dealt, ["h"], make, "h bigint, dg bigint, found array<int>", most_rows=20_000, most_bytes=4 << 20)
 
 
-def _counted(segs: DataFrame) -> DataFrame:
-    """(h, dg, ranges of windows) by counting all windows of the segments of hot anchors."""
+def _counted(wanted: DataFrame, segs: DataFrame) -> DataFrame:
+    """(h, dg, ranges of windows) of ``wanted`` by counting all windows of the segments of hot anchors."""
 
     def windows(batch: pa.RecordBatch) -> dict:
         from xxhash import xxh64_intdigest
@@ -289,9 +292,9 @@ def _counted(segs: DataFrame) -> DataFrame:
             out["wd"] += [xxh64_intdigest(seg[o : o + LENGTH], 2) for o in range(n)]
         return out | {"wd": np.array(out["wd"], np.uint64).view(np.int64)}
 
-    all_windows = map_batches(segs, windows, "h bigint, dg bigint, o int, wd bigint")
-    twice = all_windows.groupBy("h", "wd").agg(F.count("*").alias("n")).where("n > 1").select("h", "wd")
-    hits = all_windows.join(twice, ["h", "wd"]).groupBy("h", "dg").agg(F.sort_array(F.collect_list("o")).alias("os"))  # at most SPAN places
+    schema = "h bigint, dg bigint, o int, wd bigint"
+    twice = map_batches(segs, windows, schema).groupBy("h", "wd").agg(F.count("*").alias("n")).where("n > 1").select("h", "wd")
+    hits = map_batches(wanted, windows, schema).join(twice, ["h", "wd"]).groupBy("h", "dg").agg(F.sort_array(F.collect_list("o")).alias("os"))  # at most SPAN places
     pairs = F.flatten(F.transform("os", lambda o: F.array(o, o + 1)))
     return hits.select("h", "dg", pairs.alias("found"))
 
@@ -299,29 +302,36 @@ def _counted(segs: DataFrame) -> DataFrame:
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """(rk, text) -> (rk, found): the byte ranges [from, to, ...] of a text's repeats."""
     spark = rows.sparkSession
-    twice = occurrences(rows, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = cut(occurrences(rows, True).join(twice, "h"))
+    # what one side of a join counts is written first, so that the join's own shuffles can be split at hot anchors
+    twice = Kept(occurrences(rows, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    release(spark)
+    kept = Kept(occurrences(rows, True).join(twice.df, "h"))
+    twice.drop()
+    release(spark)
+    distinct = Kept(kept.df.groupBy("h", "dg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("at").alias("at")))
     release(spark)
-    all_distinct = Kept(kept.groupBy("h", "dg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("at").alias("at")))
-    distinct = all_distinct.df
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    all_shared = Kept(distinct.join(kinds, "h"))
-    shared = all_shared.df
+    kinds = Kept(distinct.df.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    shared = Kept(distinct.df.join(kinds.df, "h"))
+    kinds.drop()
     release(spark)
-    marks = distinct.where("c > 1").select("h", "dg", F.array(F.lit(0), F.pmod("at", F.lit(256)).cast("int")).alias("found"))
-    marks = marks.unionAll(_indexed(_segment_texts(rows, shared.where(F.col("kinds") <= HOT))))
-    if not shared.where(F.col("kinds") > HOT).isEmpty():
-        hot = cut(_segment_texts(rows, shared.where(F.col("kinds") > HOT)))
-        once = distinct.where("c = 1").select("h", "dg")
-        marks = marks.unionAll(_counted(hot).join(once, ["h", "dg"], "left_semi"))
-        del hot, once
-    marks = cut(marks)
-    all_distinct.drop()
-    all_shared.drop()
+    whole = distinct.df.where("c > 1").select("h", "dg", F.array(F.lit(0), F.pmod("at", F.lit(256)).cast("int")).alias("found"))
+    segs = Kept(_segment_texts(rows, shared.df))  # before the next shuffle of the same bytes
     release(spark)
+    marks = [Kept(whole.unionAll(_indexed(segs.df.where(F.col("kinds") <= HOT))))]
+    hot = segs.df.where(F.col("kinds") > HOT)
+    if not hot.isEmpty():
+        marks.append(Kept(_counted(hot.where("c = 1"), hot)))
+    release(spark)
+    for done in (distinct, shared, segs):
+        done.drop()
     place = (F.col("at") / 256).cast("bigint")
     spans = F.transform(F.col("found"), lambda x, i: F.when(i % 2 == 0, place + x).otherwise(place + x + F.lit(LENGTH - 1)))
-    return kept.join(marks, ["h", "dg"]).select("rk", spans.alias("found")).groupBy("rk").agg(F.flatten(F.collect_list("found")).alias("found"))
+    marked = reduce(DataFrame.unionAll, (m.df for m in marks))
+    found = cut(kept.df.join(marked, ["h", "dg"]).select("rk", spans.alias("found")).groupBy("rk").agg(F.flatten(F.collect_list("found")).alias("found")))
+    for done in (kept, *marks):
+        done.drop()
+    release(spark)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
