@@ -37,9 +37,9 @@ from seqloom.runtime import Kept, cut, release
 LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1  # places of a K-byte string in a window
 HOT = 4096  # at most 1.5 MB of segments
-PART = 6 << 20  # bytes handled at once
+PART = 1 << 20  # bytes handled at once, at about 60 times that of memory
 PLACE = (1 << 24) - 1
-BLOCK_BYTES = 1 << 19  # an index takes about 150 times that of memory; a single anchor may go beyond it
+BLOCK_BYTES = 1 << 19  # an index takes about 100 times that of memory; a single anchor may go beyond it
 
 
 def string_hashes(data: np.ndarray) -> np.ndarray:
@@ -147,11 +147,12 @@ class RunIndex:
         packed = np.zeros(n, np.int64)
         for j in range(self.WORD):
             packed = (packed << 9) | padded[j : j + n]
-        order = np.argsort(packed)
-        place = np.arange(n)
+        order = np.argsort(packed).astype(np.int32)
+        place = np.arange(n, dtype=np.int32)
         rank = np.empty(n, np.int32)
         rank[order] = self._heads(packed[order], place)
         levels, width = [(self.WORD, rank)], self.WORD
+        del packed, padded, place
         while width < LENGTH:
             at = rank[order]  # rows in groups of more than one are sorted on, the others have their place
             alone = np.ones(n, dtype=bool)
@@ -164,7 +165,8 @@ class RunIndex:
             by = np.argsort(key)
             order[rows] = tied[by]
             rank = rank.copy()
-            rank[tied[by]] = self._heads(key[by], rows)
+            rank[tied[by]] = self._heads(key[by], rows.astype(np.int32))
+            del key, by, after, tied, rows
             width *= 2
             levels.append((width, rank))
         self.depth = width
@@ -193,12 +195,12 @@ class RunIndex:
 
     def _common(self, levels: list, text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix lengths of the suffixes at ``a`` and ``b``, up to the depth."""
-        length = np.zeros(len(a), np.int64)
+        length = np.zeros(len(a), np.int32)
         for width, rank in reversed(levels):
             x, y = a + length, b + length
             inside = (x < self.n) & (y < self.n)
             same = inside & (rank[np.minimum(x, self.n - 1)] == rank[np.minimum(y, self.n - 1)])
-            length += np.where(same, width, 0)
+            length[same] += width
         for _ in range(self.WORD - 1):
             x, y = a + length, b + length
             inside = (x < self.n) & (y < self.n)
@@ -210,9 +212,9 @@ class RunIndex:
     def matching_statistics(self) -> np.ndarray:
         """For every position, how far its suffix agrees with another one (to the depth), streamed
         from the samples: a match of length m at p is one of m - 1 at p + 1."""
-        best = np.zeros(self.n, np.int64)
+        best = np.zeros(self.n, np.int32)
         np.maximum.at(best, self.sampled, self.shared)
-        at = np.arange(self.n)
+        at = np.arange(self.n, dtype=np.int32)
         return np.maximum(0, np.maximum.accumulate(best + at) - at)
 
 
