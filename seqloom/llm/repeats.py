@@ -313,24 +313,21 @@ def repeated_ranges(rows: DataFrame) -> DataFrame:
     distinct = Kept(kept.df.groupBy("h", "dg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("at").alias("at")))
     release(spark)
     kinds = Kept(distinct.df.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    shared = Kept(distinct.df.join(kinds.df, "h"))
-    kinds.drop()
-    release(spark)
     whole = distinct.df.where("c > 1").select("h", "dg", F.array(F.lit(0), F.pmod("at", F.lit(256)).cast("int")).alias("found"))
-    segs = Kept(_segment_texts(rows, shared.df))  # before the next shuffle of the same bytes
+    segs = Kept(_segment_texts(rows, distinct.df.join(kinds.df, "h")))  # before the next shuffle of the same bytes
+    kinds.drop()
     release(spark)
-    marks = [Kept(whole.unionAll(_indexed(segs.df.where(F.col("kinds") <= HOT))))]
+    marks = [Kept(_indexed(segs.df.where(F.col("kinds") <= HOT)))]
     hot = segs.df.where(F.col("kinds") > HOT)
     if not hot.isEmpty():
         marks.append(Kept(_counted(hot.where("c = 1"), hot)))
+    segs.drop()
     release(spark)
-    for done in (distinct, shared, segs):
-        done.drop()
     place = (F.col("at") / 256).cast("bigint")
     spans = F.transform(F.col("found"), lambda x, i: F.when(i % 2 == 0, place + x).otherwise(place + x + F.lit(LENGTH - 1)))
-    marked = reduce(DataFrame.unionAll, (m.df for m in marks))
+    marked = reduce(DataFrame.unionAll, (m.df for m in marks), whole)
     found = cut(kept.df.join(marked, ["h", "dg"]).select("rk", spans.alias("found")).groupBy("rk").agg(F.flatten(F.collect_list("found")).alias("found")))
-    for done in (kept, *marks):
+    for done in (kept, distinct, *marks):
         done.drop()
     release(spark)
     return found
