@@ -612,6 +612,21 @@ def chain_assemble(spark, d):
     return run.fold(units, "l_suppkey", ["l_shipdate", "parent", "place"], steppers.Assemble({}))
 
 
+@query()
+def merged_events(spark, d):
+    """The event before is what the second detector says."""
+    before = F.lag("key").over(Window.partitionBy("user_id").orderBy(*_ORDER))
+    offers = _ranked(spark, d).select("user_id", *_ORDER, F.col("key").alias("sliding_key"), F.col("cost").alias("sliding_cost"), before.alias("stream_key"), F.col("margin").alias("stream_cost"))
+    return run.fold(offers, "user_id", _ORDER, steppers.Merge(AFTER, 2))
+
+
+@query()
+def highlight_states(spark, d):
+    """Two letters look alike; sure rows are choices."""
+    rows = _ranked(spark, d).withColumn("action", F.when(F.col("margin") > 1, "choose").otherwise("detect"))
+    return run.fold(rows, "user_id", _ORDER, steppers.Highlight({k: ["c", "p"] for k in "cp"}, {b: a for a, b in AFTER.items()}, AFTER))
+
+
 @query(f"SELECT user_id, i - 1 AS at, tok AS token FROM (SELECT *, lag(tok) OVER (PARTITION BY user_id ORDER BY i) AS p FROM ({_STREAM})) WHERE (p IS NULL OR p <> tok) AND tok <> 'v'")
 def collapse_carry(spark, d):
     """The collapse as a fold with a carried token; SQL says it with a window."""

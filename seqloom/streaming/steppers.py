@@ -135,3 +135,78 @@ class Assemble(Stepper):
             out.append(tuple(state["waiting"][0]))
         state["waiting"] = []
         return out
+
+
+@dataclass
+class Merge(Stepper):
+    """The offers of two detectors become one line of events. Rows: sliding_key, sliding_cost, stream_key, stream_cost (null keys: no offer).
+
+    What is among the last ``memory`` keys said is not said again. Of two new offers the successor of the last key
+    wins, else the cheaper one, the sliding one on equal costs.
+    """
+
+    successor: dict
+    memory: int = 6
+    schema = "event string, key string, source string"
+
+    def step(self, state, row):
+        said = state.get("said", [])
+        offers = [(row[f"{s}_cost"], s, row[f"{s}_key"]) for s in ("sliding", "stream") if row[f"{s}_key"] is not None and row[f"{s}_key"] not in said]
+        if not offers:
+            return []
+        awaited = self.successor.get(said[-1]) if said else None
+        _, source, key = min(offers, key=lambda o: (o[2] != awaited, o[0]))
+        state["said"] = [*said, key][-self.memory :]
+        return [("detect" if not said else "advance" if key == awaited else "jump", key, source)]
+
+
+@dataclass
+class Highlight(Stepper):
+    """Detections settle; look-alikes wait until a neighbour or a choice tells them apart. Rows: action (detect, choose), key.
+
+    ``twins``: key -> its look-alikes in canonical order, itself included; ``before``, ``after``: the neighbours of
+    a key. A look-alike settles at once if just one of its group follows the last settled key; else it awaits its
+    successor, if all of the group have different ones, or a choice. One output row an input row: what it settled,
+    what is still open and why, and the last settled key.
+    """
+
+    twins: dict
+    before: dict
+    after: dict
+    schema = "settled array<string>, options array<string>, reason string, active string"
+
+    @staticmethod
+    def only(group: list, neighbour: dict, key: str | None) -> str | None:
+        found = [k for k in group if key is not None and neighbour.get(k) == key]
+        return found[0] if len(found) == 1 else None
+
+    def detect(self, state: dict, key: str) -> list:
+        settled = []
+        if state["reason"] == "await_successor":
+            told = self.only(state["options"], self.after, key)
+            settled, state["reason"] = ([told], None) if told else ([], "needs_choice")
+        group = self.twins.get(key)
+        sure = key if group is None else self.only(group, self.before, settled[-1] if settled else state["active"])
+        if sure is not None:
+            return [*settled, sure]
+        ends = [self.after.get(k) for k in group]
+        state["options"], state["reason"] = list(group), "needs_choice" if None in ends or len(set(ends)) < len(ends) else "await_successor"
+        state["active"] = settled[-1] if settled else state["active"]
+        state["open"] = True
+        return settled
+
+    def start(self):
+        return {"options": [], "reason": None, "active": None}
+
+    def step(self, state, row):
+        key = row["key"]
+        if key is None:
+            settled = []
+        elif row["action"] == "choose":
+            settled = [key] if key in state["options"] else []
+        else:
+            settled = self.detect(state, key)
+        if settled and not state.pop("open", False):
+            state["options"], state["reason"], state["active"] = [], None, settled[-1]
+        state.pop("open", None)
+        return [(settled, state["options"], state["reason"], state["active"])]

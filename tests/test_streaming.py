@@ -43,6 +43,29 @@ def test_assemble(units, chain, tail):
     assert out == [unit(u) for u in chain] and rest == [unit(u) for u in tail]
 
 
+def test_merge():
+    rows = [("a", 0.2, None, None), ("a", 0.1, "c", 0.5), ("z", 0.1, "d", 0.4), ("z", 0.3, "y", 0.3), (None, None, "a", 0.0)]
+    columns = ("sliding_key", "sliding_cost", "stream_key", "stream_cost")
+    out, _ = trace(steppers.Merge({"a": "b", "c": "d"}, 3), [dict(zip(columns, r)) for r in rows])
+    assert out == [("detect", "a", "sliding"), ("jump", "c", "stream"), ("advance", "d", "stream"), ("jump", "z", "sliding"), ("jump", "a", "stream")]
+
+
+@pytest.mark.parametrize("said, last", [
+    ("a b", (["b"], [], None, "b")),  # the key before tells the look-alikes apart
+    ("b", ([], ["b", "y"], "await_successor", None)),
+    ("y c", (["b", "c"], [], None, "c")),  # heard as y, known as b by what follows
+    ("b q", (["q"], [], None, "q")),  # nothing told them apart; the next sure key goes on
+    ("m", ([], ["m", "n"], "needs_choice", None)),  # one has no successor
+    ("m !n", (["n"], [], None, "n")),
+    ("m !b", ([], ["m", "n"], "needs_choice", None)),  # not among the options
+    ("b c m", ([], ["m", "n"], "needs_choice", "c")),
+])
+def test_highlight(said, last):
+    s = steppers.Highlight({"b": ["b", "y"], "y": ["b", "y"], "m": ["m", "n"], "n": ["m", "n"]}, {"b": "a", "y": "x"}, {"b": "c", "y": "z", "m": "o"})
+    rows = [{"action": "choose" if k[0] == "!" else "detect", "key": k.lstrip("!")} for k in said.split()]
+    assert trace(s, rows)[0][-1] == last
+
+
 def streamed(spark, df, tmp_path, plan, mode="append"):
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
