@@ -72,9 +72,9 @@ def table_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def blocks_for(n: int) -> int:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
     """Two key blocks of about 21 bits to 2**24 fingerprints, then three, then four."""
-    return RADIUS + (2 if n < 1 << 24 else 3 if n < 1 << 30 else 4)
+    return radius + (2 if n < 1 << 24 else 3 if n < 1 << 30 else 4)
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def linked(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarr
 
 def link_edges(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """(node, fp) with distinct fp -> (a, b): links that span every component of fingerprints within ``radius``."""
-    masks = table_masks(blocks_for(nodes.count()), radius)
+    masks = table_masks(blocks_for(nodes.count(), radius), radius)
     keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in masks])).alias("t", "bits"))
     groups = pair_groups(keyed, ["t", "bits"], "node", limit)
 
