@@ -5,6 +5,7 @@ posteriors come from grouped sums of that evidence: a path's rate is shrunk towa
 host's towards the global rate, each with a concentration estimated from the spread of the group
 rates (method of moments), so sparse sites count for little. A document's log-odds move by
 ``site_weight`` times how far its site's log-odds are from the global ones, at most ``site_reach``.
+Every feature is of the whole text; vocabulary variety is the mean over 100-word windows end to end.
 
 ``max_train`` bounds the labelled documents the logistic model is fitted on (chosen by hash of
 doc_id); site statistics cover all documents.
@@ -28,6 +29,17 @@ from seqloom.llm.toxicity import labelled
 FEATURES = 12
 
 
+def variety(words: list[bytes], size: int = 100) -> float:
+    """The mean share of distinct words over windows of ``size`` words, end to end; the last one ends with the text.
+
+    Shorter texts are one window."""
+    n = len(words)
+    if n <= size:
+        return len(set(words)) / n
+    starts = [*range(0, n - size, size), n - size]
+    return sum(len(set(words[k : k + size])) for k in starts) / (size * len(starts))
+
+
 def features(text: bytes) -> list[float]:
     words = text.split()
     n = len(words)
@@ -49,7 +61,7 @@ def features(text: bytes) -> list[float]:
         min(1.0, plain.count("!") / n),
         sum(map(plain.count, "0123456789")) / chars,
         min(1.0, ends / n),
-        len(set(words)) / n if n < 100 else len(set(words[:100])) / 100,
+        variety(words),
         1.0 if symbols > 0.1 * n else 0.0,
     ]
 
