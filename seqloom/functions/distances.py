@@ -7,7 +7,7 @@ that tests use as brute-force definitions.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -178,24 +178,84 @@ def common_prefix(a, b) -> int:
     return n
 
 
-def _pairwise(kernel, kind: str):
-    @F.pandas_udf(kind)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kernel(list(x), list(y)) for x, y in zip(a, b)])
+def _by_lengths(kernel, least: int = 0):
+    """A column function of two strings of one-letter tokens: pairs of equal lengths are aligned together, one array operation for a cell of all of them."""
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        left, right = a.to_pylist(), b.to_pylist()
+        out = np.full(len(left), np.nan)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for k, (x, y) in enumerate(zip(left, right)):
+            if x is not None and y is not None:
+                groups.setdefault((len(x), len(y)), []).append(k)
+        for (n, m), rows in groups.items():
+            x, y = (np.frombuffer("".join(s[k] for k in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), size).T for s, size in ((left, n), (right, m)))
+            out[rows] = kernel(x, y)
+        return pa.array(out, mask=np.isnan(out))
 
     return run
 
 
-def infix_norm_col(ref: Column, window: Column) -> Column:
-    return _pairwise(infix_norm, "double")(ref, window)
+def _rows(x: np.ndarray, y: np.ndarray, first: np.ndarray):
+    """The rows of the edit tables of many pairs: x (n, pairs), y (m, pairs), ``first`` (m + 1, pairs) the row above."""
+    row = first
+    yield row
+    for i in range(len(x)):
+        new = np.empty_like(row)
+        new[0] = i + 1
+        np.minimum(row[1:] + 1, row[:-1] + (y != x[i]), out=new[1:])
+        for j in range(1, len(new)):
+            np.minimum(new[j], new[j - 1] + 1, out=new[j])
+        row = new
+        yield row
+
+
+def batched_infix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``infix_norm`` of many pairs."""
+    if not len(x):
+        return np.zeros(x.shape[1])
+    *_, row = _rows(x, y, np.zeros((len(y) + 1, x.shape[1]), dtype=np.int16))
+    return row.min(0) / len(x)
+
+
+def batched_prefix(x: np.ndarray, y: np.ndarray, least: int, slack: int = 2) -> np.ndarray:
+    """``prefix_norm`` of many pairs."""
+    best = np.full(x.shape[1], np.inf)
+    for i, row in enumerate(_rows(x, y, np.zeros((len(y) + 1, x.shape[1]), dtype=np.int16))):
+        if i and i >= least:
+            best = np.minimum(best, row[max(0, len(y) - slack) :].min(0) / i)
+    return best
+
+
+def batched_prefix_align(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``prefix_align``'s cost of many pairs."""
+    if not len(x) or not len(y):
+        return np.full(x.shape[1], 1.0 if len(x) else 0.0)
+    *_, row = _rows(x, y, np.repeat(np.arange(len(y) + 1, dtype=np.int16)[:, None], x.shape[1], axis=1))
+    return row[1:].min(0) / len(x)
+
+
+def infix_norm_letters(ref: Column, window: Column) -> Column:
+    return _by_lengths(batched_infix)(ref, window)
+
+
+def prefix_norm_letters(ref: Column, window: Column, least: int, slack: int = 2) -> Column:
+    return _by_lengths(lambda x, y: batched_prefix(x, y, least, slack))(ref, window)
 
 
-def prefix_norm_col(ref: Column, window: Column, least: int, slack: int = 2) -> Column:
-    return _pairwise(lambda a, b: prefix_norm(a, b, least, slack), "double")(ref, window)
+def prefix_align_letters(given: Column, ref: Column) -> Column:
+    return _by_lengths(batched_prefix_align)(given, ref)
 
 
-def prefix_align_col(given: Column, ref: Column) -> Column:
-    return _pairwise(lambda a, b: prefix_align(a, b)[0], "double")(given, ref)
+def _pairwise(kernel, kind: str):
+    """A column function of two token arrays, pair by pair."""
+
+    @F.arrow_udf(kind)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else kernel(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], {"double": pa.float64(), "int": pa.int32()}[kind])
+
+    return run
 
 
 def lcs_col(a: Column, b: Column) -> Column:
@@ -206,6 +266,28 @@ def in_order_hits_col(truth: Column, given: Column) -> Column:
     return _pairwise(in_order_hits, "int")(truth, given)
 
 
+def edit_ops_col(truth: Column, given: Column) -> Column:
+    """array<struct<op, truth, given>> of the alignment, places from 0 and -1 for none."""
+    kind = pa.list_(pa.struct([("op", pa.string()), ("truth", pa.int32()), ("given", pa.int32())]))
+
+    @F.arrow_udf("array<struct<op:string,truth:int,given:int>>")
+    def run(truth: pa.Array, given: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else [{"op": o, "truth": i, "given": j} for o, i, j in edit_ops(x, y)] for x, y in zip(truth.to_pylist(), given.to_pylist())], kind)
+
+    return run(truth, given)
+
+
+def soft_infix_col(ref: Column, window: Column, alternatives: Column, least: float = 0.1) -> Column:
+    """E5 on arrays: ``alternatives`` is array<array<struct<token, p>>>, one for each window token, best first."""
+
+    @F.arrow_udf("double")
+    def run(ref: pa.Array, window: pa.Array, alternatives: pa.Array) -> pa.Array:
+        rows = zip(ref.to_pylist(), window.to_pylist(), alternatives.to_pylist())
+        return pa.array([None if None in (x, y, a) else soft_infix_norm(x, y, [[(z["token"], z["p"]) for z in found or []] for found in a], least) for x, y, a in rows], pa.float64())
+
+    return run(ref, window, alternatives)
+
+
 def edit_norm_col(a: Column, b: Column) -> Column:
     """For one-character-a-token strings, JVM-side."""
     return F.levenshtein(a, b) / F.greatest(F.lit(1), F.length(a), F.length(b))

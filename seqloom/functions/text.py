@@ -4,24 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: The ordered rewrite rules of the label normaliser (pattern, replacement).
-NORMAL_RULES = (
-    ("ىٰ", "ا"),
-    ("ٰ", "ا"),
-    ("[ؐ-ًؚ-ٟۖ-ۭ]", ""),
-    ("ـ", ""),
-    ("[آأإٱ]", "ا"),
-    ("ی", "ي"),
-    ("ک", "ك"),
-    (r"\s+", " "),
-)
+#: Fixed values of the label normaliser. Marks that go: combining signs of the Arabic blocks.
+MARKS = "[\\u0610-\\u061A\\u064B-\\u065F\\u0670\\u06D6-\\u06DC\\u06DF-\\u06E4\\u06E7\\u06E8\\u06EA-\\u06ED\\u08A0-\\u08FF]"
+#: Letters that become others: the alef forms with maksura, Farsi yeh and keheh.
+LETTERS = ("\u0622\u0623\u0625\u0649\u0671\u06CC\u06A9", "\u0627\u0627\u0627\u0627\u0627\u064A\u0643")
+#: A dagger alef is a letter; on an alef maksura the two are one.
+DAGGER, MAKSURA, ALEF, TATWEEL = "\u0670", "\u0649", "\u0627", "\u0640"
 
 
 def normalize(text: Column) -> Column:
-    """Label text without marks, with unified letters and single spaces; the rules apply in order."""
-    for pattern, replacement in NORMAL_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return F.trim(text)
+    """Label text without marks, with unified letters and single spaces; daggers become letters before marks go."""
+    text = F.regexp_replace(text, f"{MAKSURA}?{DAGGER}", ALEF)
+    text = F.regexp_replace(F.regexp_replace(text, MARKS, ""), TATWEEL, "")
+    return F.trim(F.regexp_replace(F.translate(text, *LETTERS), r"(?U)\s+", " "))
 
 
 def fold_words(text: Column) -> Column:
@@ -68,7 +63,22 @@ def clamp_confidence(cost: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(1.0) - cost))
 
 
-def valid_media(size: Column, magic: Column, duration: Column, expected: Column) -> Column:
-    """Large enough, a known magic (hex) and a duration within max(10 s, 5 %) of the expected."""
-    near = F.abs(duration - expected) <= F.greatest(F.lit(10.0), 0.05 * expected)
-    return (size >= 1024) & (F.startswith(magic, F.lit("494433")) | F.startswith(magic, F.lit("fffb")) | F.startswith(magic, F.lit("fff3"))) & near
+def glue_forward(words: Column, forward: list[str]) -> Column:
+    """Words of ``forward`` written together with the word after them, as an array; one left over at the end stands alone."""
+    step = lambda done, w: F.struct(
+        F.when(w.isin(forward), done["out"]).otherwise(F.concat(done["out"], F.array(F.concat(done["held"], w)))).alias("out"),
+        F.when(w.isin(forward), F.concat(done["held"], w)).otherwise(F.lit("")).alias("held"),
+    )
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+    return F.aggregate(words, start, step, lambda done: F.when(done["held"] == "", done["out"]).otherwise(F.concat(done["out"], F.array(done["held"]))))
+
+
+def encode_first_seen(tokens: Column, first: int) -> Column:
+    """Tokens as characters: the k-th distinct token is the code point first + k - 1."""
+    known = F.array_distinct(tokens)
+    return F.array_join(F.transform(tokens, lambda t: F.chr(F.array_position(known, t) + F.lit(first - 1))), "")
+
+
+def simulated_error(token: Column, draw: Column, deleted: str = "1", substituted: str = "3", doubled: str = "5") -> Column:
+    """A token with errors by a hex draw: below ``deleted`` it goes, below ``substituted`` it is x, below ``doubled`` y follows it."""
+    return F.when(draw < deleted, "").when(draw < substituted, "x").when(draw < doubled, F.concat(token, F.lit("y"))).otherwise(token)

@@ -74,3 +74,38 @@ def as_of(rows: DataFrame, marks: DataFrame, at: Column, start: str, value: str,
     right = marks.select(*[F.col(c) if c in keys else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.col(start).cast(left.schema["_at"].dataType).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"))
     w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return left.unionByName(right).withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_kind = 1").drop("_at", "_kind", "_value")
+
+
+def not_among(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose value is none of ``values``; rows without a value stay."""
+    return rows.where(F.col(column).isNull() | ~F.col(column).isin(values))
+
+
+def valid_file(size: Column, magic: Column, known: list[str], duration: Column, expected: Column) -> Column:
+    """Large enough, a known beginning and a duration within max(10 s, 5 %) of the expected one."""
+    begins = F.lit(False)
+    for beginning in known:
+        begins = begins | F.startswith(magic, F.lit(beginning))
+    return (size >= 1024) & begins & (F.abs(duration - expected) <= F.greatest(F.lit(10.0), 0.05 * expected))
+
+
+def covering(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """(key, at, n): how many spans of a key cover each of its points, ends included.
+
+    Starts add one and ends take one away in a single sorted pass, so no pair of a point and a span is made."""
+    opened = spans.select(key, F.col(start).alias(at), F.lit(0).alias("_kind"), F.lit(1).alias("_step"))
+    closed = spans.select(key, F.col(end).alias(at), F.lit(2).alias("_kind"), F.lit(-1).alias("_step"))
+    asked = points.select(key, at, F.lit(1).alias("_kind"), F.lit(0).alias("_step"))
+    w = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return opened.unionByName(closed).unionByName(asked).withColumn("n", F.sum("_step").over(w)).where("_kind = 1").select(key, at, "n")
+
+
+def running_total(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``total``: the sum of ``value`` over all rows up to this one in the order of the unique ``key``.
+
+    Ranges of the key are summed apart; only their sums, one row a partition, are added up in one place."""
+    ranged = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    parts = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = parts.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(key))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("total", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")

@@ -21,9 +21,46 @@ def postings(units: DataFrame, unit: str, tokens: str, n: int = 3) -> DataFrame:
 
 
 def gram_counts(windows: DataFrame, window: str, tokens: str, index: DataFrame, n: int = 3) -> DataFrame:
-    """(window, unit, cnt, first_pos): window positions whose n-gram occurs in the unit."""
+    """(window, unit, cnt, first_pos): window positions whose n-gram occurs in the unit. A window's equal grams meet the index once."""
     probes = windows.select(F.col(window).alias("window"), F.posexplode(grams(F.col(tokens), n)).alias("pos", "gram"))
-    return probes.join(index, "gram").groupBy("window", "unit").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+    probes = probes.groupBy("window", "gram").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+    return probes.join(index, "gram").groupBy("window", "unit").agg(F.sum("cnt").alias("cnt"), F.min("first_pos").alias("first_pos"))
+
+
+def expanded_counts(windows: DataFrame, window: str, tokens: str, seconds: str, index: DataFrame, n: int = 3) -> DataFrame:
+    """``gram_counts`` that also looks up each token's second choice where ``seconds`` (array, as long as ``tokens``) has one.
+
+    A position counts once for a unit, however many of its up to 2 ** n n-grams occur there.
+    """
+    slots = windows.select(F.col(window).alias("window"), F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(seconds).alias("u")), lambda x: F.array_compact(F.array(x["t"], x["u"]))).alias("slots"))
+    probes = slots.select("window", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("slots") - n + 1)), lambda i: F.slice("slots", i, n))).alias("pos", "part")).where(F.size("part") == n)
+    for k in range(n):
+        probes = probes.withColumn(f"g{k}", F.explode(F.col("part")[k]))
+    probes = probes.select("window", "pos", F.concat_ws(" ", *[f"g{k}" for k in range(n)]).alias("gram")).distinct()
+    hits = probes.join(index, "gram").select("window", "pos", "unit").distinct()
+    return hits.groupBy("window", "unit").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+
+
+#: Lexicons up to so many rows go to every task.
+LEXICON_ROWS = 200_000
+
+
+def length_banded(windows: DataFrame, units: DataFrame, window: str, ref: str, band: float) -> DataFrame:
+    """Every window (string) with every unit whose length is within [band * n, n / band] of the window's n.
+
+    The lexicon is a dimension: up to ``LEXICON_ROWS`` units (checked) it is broadcast, grouped by length, and windows stay where
+    they are. Beyond that both sides meet by length, and each length's units are dealt into chunks of that size, so that no
+    length is one task.
+    """
+    w = windows.withColumn("n", F.length(window))
+    w = w.withColumn("len", F.explode(F.sequence(F.ceil(F.col("n") * band).cast("int"), F.floor(F.col("n") / band).cast("int"))))
+    u = units.withColumn("len", F.length(ref))
+    count = units.count()
+    if count <= LEXICON_ROWS:
+        return w.join(F.broadcast(u), "len")
+    chunks = -(-count // LEXICON_ROWS)
+    w = w.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return w.join(u.withColumn("chunk", F.pmod(F.xxhash64(ref), F.lit(chunks)).cast("int")), ["len", "chunk"]).drop("chunk")
 
 
 def shortlist(counts: DataFrame, lengths: DataFrame, raw: int = 60, scaled: int = 20) -> DataFrame:
@@ -38,39 +75,74 @@ def shortlist(counts: DataFrame, lengths: DataFrame, raw: int = 60, scaled: int
     return ranked.where((F.col("raw_rank") <= raw) | (F.col("scaled_rank") <= scaled))
 
 
-def window_best(candidates: DataFrame, fire: float = 0.45, page_penalty: float = 0.08, coverage: float = 0.15, low: float = 0.5, high: float = 1.3) -> DataFrame:
-    """The best unit for each window.
+def window_best(candidates: DataFrame, fire: float = 0.30, page_penalty: float = 0.08, coverage: float = 0.15, low: float = 0.5, high: float = 1.3) -> DataFrame:
+    """The best unit for each window, with its cost ``eff``.
 
-    ``candidates``: (window, win tokens, unit, ref tokens, raw_rank, on_page, blacklisted). Length band, black
-    list unless the page vouches, infix cost plus the off-page penalty; among units at or under ``fire`` the
-    least coverage-blended score wins, else the least cost; ties by shortlist order.
+    ``candidates``: (window, win, unit, ref, place in the shortlist, on_page, blacklisted), win and ref as strings of one-letter
+    tokens. Length band, black list unless the page vouches, infix cost plus the off-page penalty; among units at or under
+    ``fire`` the least coverage-blended score wins, else the least cost; ties by place.
     """
-    n, size = F.size("win"), F.size("ref")
+    n, size = F.length("win"), F.length("ref")
     fit = candidates.where((size >= low * n) & (size <= high * n) & ~(F.col("blacklisted") & ~F.col("on_page")))
-    cost = distances.infix_norm_col(F.col("ref"), F.col("win")) + F.when(F.col("on_page"), 0.0).otherwise(page_penalty)
-    scored = fit.withColumn("eff", cost).withColumn("blend", F.col("eff") - F.lit(coverage) * F.least(size, n) / n)
-    w = Window.partitionBy("window").orderBy(F.when(F.col("eff") <= fire, 0).otherwise(1), F.when(F.col("eff") <= fire, F.col("blend")).otherwise(F.col("eff")), "raw_rank")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    cost = distances.infix_norm_letters(F.col("ref"), F.col("win")) + F.when(F.col("on_page"), 0.0).otherwise(page_penalty)
+    scored = fit.withColumn("eff", F.round(cost, 9)).withColumn("blend", F.round(F.col("eff") - F.lit(coverage) * F.least(size, n) / n, 9))
+    fires = F.col("eff") <= fire
+    best = F.struct(F.when(fires, 0).otherwise(1).alias("no"), F.when(fires, F.col("blend")).otherwise(F.col("eff")).alias("score"), "place", "unit", "eff")
+    return scored.groupBy("window").agg(F.min(best).alias("best")).select("window", "best.unit", "best.eff", (F.col("best.no") == 0).alias("fired"))
 
 
-def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float) -> DataFrame:
+def context_bonus(unit: Column, now: Column, streak: Column, parent_width: int, bonus: float = 0.22, ahead: int = 2, same: float = 0.10, by_streak: float = 0.05, cap: int = 4) -> Column:
+    """What a unit's cost is lowered by after ``now`` (integers in canonical order; a parent holds ``parent_width`` of them).
+
+    The next ``ahead`` units get a bonus that decays with distance and grows with the streak; units of the same parent at least ``same``.
+    """
+    gap, whole = unit - now, F.lit(bonus) + F.lit(by_streak) * F.least(streak, F.lit(cap))
+    near = F.when((gap >= 1) & (gap <= ahead), whole * (1 - (gap - 1) / F.lit(ahead + 1.0))).otherwise(0.0)
+    stays = F.when(F.floor(unit / parent_width) == F.floor(now / parent_width), same).otherwise(0.0)
+    return F.when(now.isNull(), 0.0).otherwise(F.greatest(near, stays))
+
+
+def better_label(costs: DataFrame, key: str, label: str, least_gain: float = 0.15, most_cost: float = 0.45) -> DataFrame:
+    """(key, label, suggestion): the best other candidate where it beats the label's own cost by ``least_gain`` and is at most ``most_cost``.
+
+    ``costs``: (key, label, candidate, cost); a label without a cost counts as 1.
+    """
+    own = F.min(F.when(F.col("candidate") == F.col(label), F.col("cost")))
+    other = F.min(F.when(F.col("candidate") != F.col(label), F.struct("cost", "candidate")))
+    best = costs.groupBy(key, label).agg(F.coalesce(own, F.lit(1.0)).alias("own"), other.alias("other"))
+    good = (F.col("own") - F.col("other.cost") >= least_gain) & (F.col("other.cost") <= most_cost)
+    return best.select(key, label, F.when(good, F.col("other.candidate")).alias("suggestion"))
+
+
+def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit: int = 2048) -> DataFrame:
     """(a, b, dist), a < b: units whose distance is at most floor(tau * max length).
 
     A pair's lengths differ by no more than its distance allows, so units are dealt into length buckets of
-    geometric width: each meets its own bucket and the next one by an equi join, never all others.
+    geometric width, and each meets its own bucket and the next one by an equi join. A bucket of over ``limit`` units is
+    cut into chunks, each pair of which is a join key of its own. Of a pair, the letters that one has more of than the
+    other bound the distance from below; only pairs within the bound are aligned, and only up to their cutoff.
     """
     u = units.select(F.col(unit).alias("id"), F.col(code).alias("code"), F.length(code).alias("len")).where("len > 0")
     step = 1.0 / (1.0 - tau)
-    bucket = F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(step)) + 1e-9)
-    left = u.withColumn("bucket", F.explode(F.array(bucket, bucket + 1)))
-    right = u.withColumn("bucket", bucket).select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), "bucket")
-    pairs = left.join(right, "bucket").where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
+    u = u.withColumn("bucket", F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(step)) + 1e-9)).withColumn("bag", _bag("code"))
+    sizes = u.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("chunks"))  # a row for each power of a length
+    left = u.withColumn("meets", F.explode(F.array("bucket", F.col("bucket") + 1))).join(F.broadcast(sizes.withColumnRenamed("bucket", "meets")), "meets")
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    right = u.join(F.broadcast(sizes), "bucket").select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), F.col("bag").alias("bag2"), F.col("bucket").alias("meets"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    pairs = left.join(right, ["meets", "chunk"]).where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
     cutoff = F.floor(F.lit(tau) * F.col("len2")).cast("int")
-    near = pairs.where(F.col("len2") - F.col("len") <= cutoff).withColumn("dist", F.levenshtein("code", "code2"))
-    near = near.where(F.col("dist") <= cutoff)
+    lacks = F.aggregate(F.map_entries("bag2"), F.lit(0), lambda n, x: n + F.greatest(F.lit(0), x["value"] - F.coalesce(F.try_element_at("bag", x["key"]), F.lit(0))))
+    near = pairs.withColumn("cutoff", cutoff).where((F.col("len2") - F.col("len") <= F.col("cutoff")) & (lacks <= F.col("cutoff")))
+    near = near.withColumn("dist", F.expr("levenshtein(code, code2, cutoff)")).where("dist >= 0")  # -1 beyond the cutoff
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "dist").distinct()
 
 
+def _bag(code: str) -> Column:
+    """Letter -> how often it stands in the string."""
+    letters = F.filter(F.split(F.col(code), ""), lambda x: x != "")
+    return F.map_from_arrays(F.array_distinct(letters), F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: y == x))))
+
+
 def confusable_components(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs.select("a", "b"))
 
@@ -78,16 +150,15 @@ def confusable_components(pairs: DataFrame) -> DataFrame:
 def resolvable(pairs: DataFrame, chain: DataFrame) -> DataFrame:
     """(unit, kind): whether neighbours tell an ambiguous unit from its look-alikes: both, pred, succ or none.
 
-    ``chain``: (unit, before, after). A side helps if the look-alikes' neighbours there are all different
-    from the unit's own and not themselves confusable with it.
+    ``chain``: (unit, before, after). A side helps if the unit has a neighbour there that is not ambiguous itself and that no
+    look-alike shares.
     """
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mine = both.join(chain.select(F.col("unit").alias("a"), F.col("before").alias("p"), F.col("after").alias("s")), "a")
-    theirs = mine.join(chain.select(F.col("unit").alias("b"), F.col("before").alias("p2"), F.col("after").alias("s2")), "b")
-    same = both.withColumn("twin", F.lit(True))
-    t = theirs.join(same.select(F.col("a").alias("p"), F.col("b").alias("p2"), F.col("twin").alias("pt")), ["p", "p2"], "left")
-    t = t.join(same.select(F.col("a").alias("s"), F.col("b").alias("s2"), F.col("twin").alias("st")), ["s", "s2"], "left")
+    ambiguous = both.select("a").distinct()
+    sure = chain.join(ambiguous.select(F.col("a").alias("before"), F.lit(True).alias("before_twin")), "before", "left").join(ambiguous.select(F.col("a").alias("after"), F.lit(True).alias("after_twin")), "after", "left")
+    mine = both.join(sure.select(F.col("unit").alias("a"), F.col("before").alias("p"), F.col("after").alias("s"), "before_twin", "after_twin"), "a")
+    t = mine.join(chain.select(F.col("unit").alias("b"), F.col("before").alias("p2"), F.col("after").alias("s2")), "b")
     helps = lambda x, y, z: F.bool_and(F.col(x).isNotNull() & ~F.col(x).eqNullSafe(F.col(y)) & F.col(z).isNull())
-    sides = t.groupBy(F.col("a").alias("unit")).agg(helps("p", "p2", "pt").alias("pred"), helps("s", "s2", "st").alias("succ"))
+    sides = t.groupBy(F.col("a").alias("unit")).agg(helps("p", "p2", "before_twin").alias("pred"), helps("s", "s2", "after_twin").alias("succ"))
     kind = F.when(F.col("pred") & F.col("succ"), "both").when(F.col("pred"), "pred").when(F.col("succ"), "succ").otherwise("none")
     return sides.select("unit", kind.alias("kind"))

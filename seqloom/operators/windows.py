@@ -83,3 +83,38 @@ def ranked_split(df: DataFrame, unit: str, test: int = 3, val: int = 3) -> DataF
     ranked = units.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(unit))))  # over units, not rows
     split = F.when(F.col("_r") <= test, "test").when(F.col("_r") <= test + val, "val").otherwise("train")
     return df.join(ranked.select(unit, split.alias("split")), unit)
+
+
+def split_at(df: DataFrame, stream: str, order: list[str], mark: Column) -> DataFrame:
+    """``segment``: how many marks stand before a row; the marks go."""
+    marked = df.withColumn("_mark", mark)
+    w = Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("segment", F.sum(F.col("_mark").cast("int")).over(w)).where("not _mark").drop("_mark")
+
+
+def energy_segments(df: DataFrame, stream: str, frame: str, loud: Column, gap: int, least: int, pad: int) -> DataFrame:
+    """(stream, first, last): runs of loud frames; gaps of up to ``gap`` frames are closed, runs under ``least`` go, ``pad`` is added."""
+    w = Window.partitionBy(stream).orderBy(frame)
+    on = df.where(loud).select(stream, frame)
+    new = F.coalesce((F.col(frame) - F.lag(frame).over(w) > gap + 1).cast("int"), F.lit(1))
+    runs = on.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy(stream, "_run").agg(F.min(frame).alias("first"), F.max(frame).alias("last")).where(F.col("last") - F.col("first") + 1 >= least)
+    return spans.select(stream, F.greatest(F.lit(1), F.col("first") - pad).alias("first"), (F.col("last") + pad).alias("last"))
+
+
+def greedy_runs(df: DataFrame, group: str, place: str, length: str, bad: Column, most: int) -> DataFrame:
+    """``last_i`` for every row that is not bad: the furthest row up to which lengths add up to ``most`` and none is bad.
+
+    Within a group ends rise with places, so the furthest end is the last one in a range frame over the running sum: no pairs."""
+    w = Window.partitionBy(group).orderBy(place)
+    sums = df.withColumn("_bad", bad).withColumn("_runs", F.sum(F.col("_bad").cast("int")).over(w)).withColumn("_end", F.sum(length).over(w))
+    reach = Window.partitionBy(group, "_runs").orderBy("_end").rangeBetween(0, most)
+    held = sums.withColumn("_ends", F.collect_list(F.struct("_end", place)).over(reach))  # as many as fit ``most``
+    last = F.array_max(F.transform(F.filter("_ends", lambda x: x["_end"] - F.col("_end") + F.col(length) <= most), lambda x: x[place]))
+    return held.where("not _bad").withColumn("last_i", last).drop("_bad", "_runs", "_end", "_ends")
+
+
+def best_two(df: DataFrame, stream: str, order: list[str], value: str) -> DataFrame:
+    """(stream, best, second): the values of the first two rows in order."""
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stream).orderBy(*order))).where("_r <= 2")
+    return ranked.groupBy(stream).agg(F.max(F.when(F.col("_r") == 1, F.col(value))).alias("best"), F.max(F.when(F.col("_r") == 2, F.col(value))).alias("second"))

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Window, functions as F
 
 from seqloom.functions import distances, text as txt
 from seqloom.operators import curation, retrieval, windows
+from seqloom.plans.registry import CODE, FOLD, ORACLES, ORDER as _ORDER, QUERIES, SECONDS, STREAM as _STREAM, events, joined as _joined, numbered as _numbered, query, seconds
 from seqloom.runtime import table
 from seqloom.streaming import run, steppers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict:
     return dict(QUERIES)
@@ -33,19 +19,6 @@ def oracle_sql() -> dict:
     return dict(ORACLES)
 
 
-#: One letter for each event type: token strings for byte-wise and code-point distances alike.
-CODE = "substr(event_type, 1, 1)"
-SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
-
-
-def seconds():
-    return F.unix_timestamp(F.col("ts").cast("timestamp"))
-
-
-def events(spark, d):
-    return table(spark, d, "events").withColumn("tok", F.expr("substr(event_type, 1, 1)"))
-
-
 # ---- scans, keys, projections -------------------------------------------------------------------
 
 
@@ -56,10 +29,10 @@ def manifest_ids(spark, d):
     return t.select("doc_id", txt.make_key(F.col("source"), F.col("lang")).alias("key"), txt.padded_id(F.col("source"), F.col("doc_id") % 114, F.col("doc_id") % 7).alias("recording_id"), "n_chars")
 
 
-@query("SELECT l_orderkey || ':' || l_partkey || '#' || l_linenumber AS key, CAST(l_orderkey AS INTEGER) AS first, CAST(l_partkey AS INTEGER) AS second, l_linenumber AS segment FROM lineitem WHERE l_quantity < 5")
+@query("SELECT l_orderkey || ':' || l_partkey || '#' || l_linenumber AS key, CAST(l_orderkey AS INTEGER) AS first, CAST(l_partkey AS INTEGER) AS second, l_linenumber AS segment FROM lineitem")
 def key_roundtrip(spark, d):
     """Keys composed and taken apart again."""
-    t = table(spark, d, "lineitem").where("l_quantity < 5")
+    t = table(spark, d, "lineitem")
     key = F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_partkey").cast("string"), F.lit("#"), F.col("l_linenumber").cast("string"))
     return t.select(key.alias("key")).select("key", txt.split_key(F.col("key")).alias("k")).select("key", "k.first", "k.second", "k.segment")
 
@@ -154,12 +127,13 @@ def asof_group(spark, d):
     return curation.as_of(e, marks, F.col("s"), "start", "last_purchase", ["user_id"]).select("event_id", "last_purchase")
 
 
-@query("WITH b AS (SELECT o_custkey, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders WHERE o_custkey <= 20 GROUP BY o_custkey) SELECT o_custkey, count(*) AS inside FROM b JOIN orders o ON o.o_orderkey BETWEEN b.lo AND b.hi GROUP BY b.o_custkey".replace("SELECT o_custkey, count", "SELECT b.o_custkey, count"))
+@query("WITH b AS (SELECT c_nationkey, min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer GROUP BY c_nationkey) SELECT b.c_nationkey, count(*) AS inside, count(*) FILTER (c.c_nationkey = b.c_nationkey) AS own FROM b JOIN customer c ON c.c_custkey BETWEEN b.lo AND b.hi GROUP BY b.c_nationkey")
 def range_members(spark, d):
-    """Ids between two bounds; the bounds are a page layout of fixed size (20 rows)."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    bounds = o.where("o_custkey <= 20").groupBy("o_custkey").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
-    return o.select(F.col("o_orderkey").alias("k")).join(F.broadcast(bounds), F.col("k").between(F.col("lo"), F.col("hi"))).groupBy("o_custkey").agg(F.count("*").alias("inside"))
+    """Ids between two bounds; the bounds are a layout of fixed size, one row a nation."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    bounds = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"))
+    met = c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("of")).join(F.broadcast(bounds), F.col("k").between(F.col("lo"), F.col("hi")))
+    return met.groupBy("c_nationkey").agg(F.count("*").alias("inside"), F.count_if(F.col("of") == F.col("c_nationkey")).alias("own"))
 
 
 @query("SELECT n_nationkey, lag(n_nationkey) OVER w AS before, lead(n_nationkey) OVER w AS after FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
@@ -184,13 +158,13 @@ def coverage_by_key(spark, d):
 
 
 @query("""
-WITH h AS (SELECT c_nationkey, count(DISTINCT c_mktsegment) AS have FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey)
+WITH h AS (SELECT c_nationkey, count(DISTINCT c_mktsegment) AS have FROM customer GROUP BY c_nationkey)
 SELECT n_nationkey, coalesce(have, 0) AS have, CASE WHEN coalesce(have, 0) >= 5 THEN 'complete' WHEN coalesce(have, 0) > 0 THEN 'partial' ELSE 'missing' END AS verdict
 FROM nation LEFT JOIN h ON n_nationkey = c_nationkey
 """)
 def coverage_completeness(spark, d):
     """A2: distinct members against the expected number."""
-    have = table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
+    have = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment")
     want = table(spark, d, "nation").select("n_nationkey", F.lit(5).alias("wanted"))
     return curation.completeness(have, want, "n_nationkey", "c_mktsegment", "wanted").select("n_nationkey", "have", "verdict")
 
@@ -240,7 +214,8 @@ def _words(spark, d, name="documents", key="doc_id"):
 @query(f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs, min(length(word)) AS len FROM ({_WORDS_SQL}) WHERE word <> '' GROUP BY word")
 def token_frequency(spark, d):
     """Token statistics."""
-    return _words(spark, d).groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.min(F.length("word")).alias("len"))
+    by_doc = _words(spark, d).groupBy("word", "doc_id").agg(F.count("*").alias("n"))
+    return by_doc.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"), F.min(F.length("word")).alias("len"))
 
 
 @query(f"SELECT DISTINCT word FROM ({_WORDS_SQL.replace('doc_id, ', '').replace('documents', 'benchmark')}) WHERE word <> '' AND word NOT IN (SELECT word FROM ({_WORDS_SQL}))")
@@ -293,7 +268,7 @@ def unit_index(spark, d):
 
 
 @query("WITH r AS (SELECT source, row_number() OVER (ORDER BY source DESC) AS r FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, CASE WHEN r <= 3 THEN 'test' WHEN r <= 6 THEN 'val' ELSE 'train' END AS split FROM documents JOIN r USING (source)")
-def reciter_rank_split(spark, d):
+def source_rank_split(spark, d):
     """Leakage-free split by rank of the source."""
     return windows.ranked_split(table(spark, d, "documents").select("doc_id", "source"), "source").select("doc_id", "split")
 
@@ -366,11 +341,14 @@ def persistence_first_commit(spark, d):
     return windows.first_commit(events(spark, d), "user_id", _ORDER, "tok", F.col("value") >= 5, 2).select("user_id", "event_id", "tok")
 
 
-@query(" UNION ALL ".join(f"SELECT {t} AS threshold, {k} AS need, count(*) AS committed FROM ({_COMMIT.format(t=t, k=k, s=_STREAM)})" for t in (2, 10, 20) for k in (1, 2, 3)))
+_THRESHOLDS, _NEEDS = (1, 2, 5, 10, 20, 40), (1, 2, 3, 4, 5, 6)
+
+
+@query(" UNION ALL ".join(f"SELECT {t} AS threshold, {k} AS need, count(*) AS committed FROM ({_COMMIT.format(t=t, k=k, s=_STREAM)})" for t in _THRESHOLDS for k in _NEEDS))
 def commit_grid(spark, d):
-    """EV3, J21: the trajectories once, every threshold against them."""
+    """EV3, J21: the trajectories once, 6 x 6 settings against them."""
     e = events(spark, d).select("user_id", "ts", "event_id", "tok", "value")
-    grid = spark.createDataFrame([(t, k) for t in (2, 10, 20) for k in (1, 2, 3)], "threshold int, need int")
+    grid = spark.createDataFrame([(t, k) for t in _THRESHOLDS for k in _NEEDS], "threshold int, need int")
     runs = windows.islands(e.crossJoin(F.broadcast(grid.select("threshold").distinct())).withColumn("key", F.when(F.col("value") >= F.col("threshold"), F.col("tok")).otherwise("")).withColumn("lane", F.concat_ws("/", "user_id", "threshold")), "lane", _ORDER, "key")
     best = runs.where("key <> ''").groupBy("user_id", "threshold").agg(F.max("run").alias("longest"))
     return grid.join(best, "threshold", "left").groupBy(F.col("threshold"), F.col("need")).agg(F.count(F.when(F.col("longest") >= F.col("need"), 1)).alias("committed"))
@@ -440,15 +418,7 @@ def consecutive_runs(spark, d):
 # ---- matching -----------------------------------------------------------------------------------
 
 _TAIL = f"SELECT user_id, string_agg(tok, '' ORDER BY i) AS win FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS back FROM (SELECT user_id, tok, i FROM (SELECT *, lag(tok) OVER (PARTITION BY user_id ORDER BY i) AS p FROM ({_STREAM})) WHERE p IS NULL OR p <> tok)) WHERE back <= 12 GROUP BY user_id"
-_HEAD = f"SELECT user_id AS unit, string_agg(tok, '' ORDER BY i) AS ref FROM ({_STREAM}) WHERE i <= 8 AND user_id % 10 = 0 GROUP BY user_id"
-
-
-def _joined(tokens, order="i"):
-    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, tokens))), lambda x: x[tokens]), "")
-
-
-def _numbered(spark, d):
-    return events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy(*_ORDER)))
+_HEAD = f"SELECT user_id AS unit, string_agg(tok, '' ORDER BY i) AS ref FROM ({_STREAM}) WHERE i <= 8 GROUP BY user_id"
 
 
 def trailing_windows(spark, d, n: int = 12):
@@ -459,15 +429,13 @@ def trailing_windows(spark, d, n: int = 12):
 
 
 def lexicon(spark, d, n: int = 8):
-    """(unit, ref): the first ``n`` tokens of every tenth stream."""
-    return _numbered(spark, d).where(f"i <= {n} and user_id % 10 = 0").groupBy(F.col("user_id").alias("unit")).agg(_joined("tok").alias("ref"))
+    """(unit, ref): the first ``n`` tokens of every stream."""
+    return _numbered(spark, d).where(f"i <= {n}").groupBy(F.col("user_id").alias("unit")).agg(_joined("tok").alias("ref"))
 
 
 def _paired(spark, d):
-    """Windows with the units of a length they can match (J10, F11): an equi join on admissible lengths."""
-    w = trailing_windows(spark, d).withColumn("n", F.length("win"))
-    w = w.withColumn("len", F.explode(F.sequence(F.ceil(F.col("n") * 0.6).cast("int"), F.floor(F.col("n") / 0.6).cast("int"))))
-    return w.join(lexicon(spark, d).withColumn("len", F.length("ref")), "len")
+    """Every window with the units of a length it can match."""
+    return retrieval.length_banded(trailing_windows(spark, d), lexicon(spark, d), "win", "ref", 0.6)
 
 
 _PAIRED = f"SELECT * FROM ({_TAIL}) w JOIN ({_HEAD}) u ON length(ref) >= ceil(length(win) * 0.6::DOUBLE) AND length(ref) <= floor(length(win) / 0.6::DOUBLE)"
@@ -487,20 +455,16 @@ def edit_norm_topk(spark, d):
     return c.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("cost", "unit"))).where("r <= 5").select("user_id", "unit", "cost", "r")
 
 
-def _chars(c: str):
-    return F.filter(F.split(F.col(c), ""), lambda x: x != "")
-
-
 @query(f"SELECT user_id, unit, min(levenshtein(ref, substr(win, i, j - i))) / length(ref)::DOUBLE AS cost FROM (SELECT user_id, unit, win, ref, unnest(generate_series(1, length(win) + 1)) AS i FROM ({_PAIRED})) p, generate_series(1, 13) g(j) WHERE j >= i AND j <= length(win) + 1 GROUP BY user_id, unit, ref")
 def infix_cost(spark, d):
     """A reference as a stretch of the window; the oracle tries every stretch."""
-    return _paired(spark, d).select("user_id", "unit", distances.infix_norm_col(_chars("ref"), _chars("win")).alias("cost"))
+    return _paired(spark, d).select("user_id", "unit", distances.infix_norm_letters(F.col("ref"), F.col("win")).alias("cost"))
 
 
 @query(f"SELECT user_id, unit, min(levenshtein(win, substr(ref, 1, k)))::DOUBLE / length(win) AS cost FROM ({_PAIRED}) p, generate_series(1, 8) g(k) WHERE k <= length(ref) GROUP BY user_id, unit, win")
 def prefix_align_cost(spark, d):
     """The whole window against the best prefix of a reference."""
-    return _paired(spark, d).select("user_id", "unit", distances.prefix_align_col(_chars("win"), _chars("ref")).alias("cost"))
+    return _paired(spark, d).select("user_id", "unit", distances.prefix_align_letters(F.col("win"), F.col("ref")).alias("cost"))
 
 
 @query(f"""
@@ -509,7 +473,7 @@ SELECT user_id, unit, min(levenshtein(substr(ref, 1, i), substr(win, s, e - s +
 """)
 def prefix_cost(spark, d):
     """The beginning of a reference against the window's end."""
-    return _paired(spark, d).select("user_id", "unit", distances.prefix_norm_col(_chars("ref"), _chars("win"), 4).alias("cost"))
+    return _paired(spark, d).select("user_id", "unit", distances.prefix_norm_letters(F.col("ref"), F.col("win"), 4).alias("cost"))
 
 
 _GRAMS = "SELECT {k}, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram, unnest(generate_series(0, len(w) - 3)) AS pos FROM (SELECT {k}, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM {t}) WHERE len(w) >= 3"
@@ -540,21 +504,21 @@ def ngram_counts(spark, d):
 @query(f"""
 WITH c AS ({_COUNTS}), l AS (SELECT item_id AS unit, len(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS n FROM benchmark),
 r AS (SELECT "window", c.unit, cnt, row_number() OVER (PARTITION BY "window" ORDER BY cnt DESC, first_pos, c.unit) AS raw_rank, row_number() OVER (PARTITION BY "window" ORDER BY cnt::DOUBLE / n DESC, first_pos, c.unit) AS scaled_rank FROM c JOIN l ON c.unit = l.unit)
-SELECT "window", unit, cnt, raw_rank, scaled_rank FROM r WHERE raw_rank <= 3 OR scaled_rank <= 2
+SELECT "window", unit, cnt, raw_rank, scaled_rank FROM r WHERE raw_rank <= 60 OR scaled_rank <= 20
 """)
 def ngram_shortlist(spark, d):
     """Two rankings, one shortlist."""
     lengths = _tokens(spark, d, "benchmark", "item_id").select(F.col("item_id").alias("unit"), F.size("w").alias("len"), F.col("item_id").alias("unit_ord"))
-    return retrieval.shortlist(_counts(spark, d), lengths, 3, 2).select("window", "unit", "cnt", "raw_rank", "scaled_rank")
+    return retrieval.shortlist(_counts(spark, d), lengths).select("window", "unit", "cnt", "raw_rank", "scaled_rank")
 
 
-_UNITS = f"SELECT user_id AS id, string_agg(tok, '' ORDER BY i) AS code FROM ({_STREAM}) WHERE i <= 10 GROUP BY user_id"
-_NEAR = f"SELECT a.id AS a, b.id AS b, levenshtein(a.code, b.code) AS dist FROM ({_UNITS}) a JOIN ({_UNITS}) b ON a.id < b.id WHERE levenshtein(a.code, b.code) <= floor(0.4::DOUBLE * greatest(length(a.code), length(b.code)))"
+_UNITS = f"SELECT user_id AS id, string_agg(tok, '' ORDER BY i) AS code FROM ({_STREAM}) GROUP BY user_id"
+_NEAR = f"SELECT a.id AS a, b.id AS b, levenshtein(a.code, b.code) AS dist FROM ({_UNITS}) a JOIN ({_UNITS}) b ON a.id < b.id WHERE levenshtein(a.code, b.code) <= floor(0.53::DOUBLE * greatest(length(a.code), length(b.code)))"
 
 
 def _near(spark, d):
-    units = _numbered(spark, d).where("i <= 10").groupBy(F.col("user_id").alias("id")).agg(_joined("tok").alias("code"))
-    return retrieval.confusable_pairs(units, "id", "code", 0.4)
+    units = _numbered(spark, d).groupBy(F.col("user_id").alias("id")).agg(_joined("tok").alias("code"))
+    return retrieval.confusable_pairs(units, "id", "code", 0.53)
 
 
 @query(_NEAR)
@@ -569,7 +533,15 @@ def confusable_components(spark, d):
     return retrieval.confusable_components(_near(spark, d))
 
 
-@query()
+_CHAIN = "SELECT unit, lag(unit) OVER w AS before, lead(unit) OVER w AS after FROM (SELECT DISTINCT user_id AS unit FROM events) WINDOW w AS (PARTITION BY unit % 10 ORDER BY unit)"
+
+
+@query(f"""
+WITH near AS ({_NEAR}), e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), amb AS (SELECT DISTINCT a FROM e), c AS ({_CHAIN}),
+t AS (SELECT e.a, m.before AS p, m.after AS s, o.before AS p2, o.after AS s2 FROM e JOIN c m ON m.unit = e.a JOIN c o ON o.unit = e.b),
+g AS (SELECT a, bool_and(p IS NOT NULL AND p NOT IN (SELECT a FROM amb) AND p IS DISTINCT FROM p2) AS pred, bool_and(s IS NOT NULL AND s NOT IN (SELECT a FROM amb) AND s IS DISTINCT FROM s2) AS succ FROM t GROUP BY a)
+SELECT a AS unit, CASE WHEN pred AND succ THEN 'both' WHEN pred THEN 'pred' WHEN succ THEN 'succ' ELSE 'none' END AS kind FROM g
+""")
 def neighbor_resolution(spark, d):
     """Which neighbours tell look-alikes apart."""
     users = table(spark, d, "events").select((F.col("user_id") % 10).alias("g"), F.col("user_id").alias("unit")).distinct()
@@ -583,6 +555,13 @@ def ordered_concat(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), " ").alias("roles"))
 
 
+@query(f"WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})), r(node, seen) AS (SELECT a, a FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON r.node = e.a), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS size, string_agg(node::VARCHAR, ',' ORDER BY node) AS members, row_number() OVER (ORDER BY count(*) DESC, component) AS place FROM c GROUP BY component")
+def component_order(spark, d):
+    """Components by size, then by their first unit; members in order."""
+    parts = retrieval.confusable_components(_near(spark, d)).groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
+    return parts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # a report, one row a component
+
+
 # ---- state machines (order-dependent folds: no SQL; held against hand traces and batch == stream) --------------
 
 #: The canonical order of event letters for successor rules.
@@ -629,7 +608,7 @@ def highlight_states(spark, d):
 
 @query(f"SELECT user_id, i - 1 AS at, tok AS token FROM (SELECT *, lag(tok) OVER (PARTITION BY user_id ORDER BY i) AS p FROM ({_STREAM})) WHERE (p IS NULL OR p <> tok) AND tok <> 'v'")
 def collapse_carry(spark, d):
-    """The collapse as a fold with a carried token; SQL says it with a window."""
+    """The collapse as a fold with a carried token, as streams run it; whole tables are faster by ``ctc_collapse``'s window."""
     return run.fold(events(spark, d).select("user_id", "ts", "event_id", F.col("tok").alias("token")), "user_id", _ORDER, steppers.Collapse("v"))
 
 
@@ -638,3 +617,6 @@ def tumbling_counts(spark, d):
     """Event-time windows, by the plan that also runs on streams."""
     out = run.hopping_counts(table(spark, d, "events"), "ts", ["user_id"], "1 hour", "1 hour", "1 hour")
     return out.withColumn("w0", F.col("w0").cast("timestamp_ntz")).withColumn("w1", F.col("w1").cast("timestamp_ntz"))
+
+
+from seqloom.plans import evaluation, files, numerics, relational, scoring  # noqa: E402, F401  (they register their queries)

@@ -210,3 +210,227 @@ class Highlight(Stepper):
             state["options"], state["reason"], state["active"] = [], None, settled[-1]
         state.pop("open", None)
         return [(settled, state["options"], state["reason"], state["active"])]
+
+
+@dataclass
+class Batches(Stepper):
+    """Rows in order go to batches of at most ``items`` rows whose padded size, rows times the longest, is at most ``budget``. Rows: n_chars."""
+
+    items: int
+    budget: int
+    schema = "batch int, size bigint"
+
+    def start(self):
+        return {"batch": -1, "items": 0, "longest": 0}
+
+    def step(self, state, row):
+        size = row["n_chars"]
+        longest = max(state["longest"], size)
+        if state["batch"] < 0 or state["items"] >= self.items or (state["items"] + 1) * longest > self.budget:
+            state["batch"], state["items"], longest = state["batch"] + 1, 0, size
+        state["items"], state["longest"] = state["items"] + 1, longest
+        return [(state["batch"], size)]
+
+
+@dataclass
+class SpeechGate(Stepper):
+    """Opens at ``threshold``; closes once probabilities have been under threshold - ``slack`` for ``least`` rows without reaching the threshold. Rows: p."""
+
+    threshold: float = 0.5
+    slack: float = 0.15
+    least: int = 3
+    schema = "event string"
+
+    def start(self):
+        return {"open": False, "quiet": 0, "at": 0}
+
+    def step(self, state, row):
+        p, state["at"] = row["p"], state["at"] + 1
+        if p >= self.threshold:
+            opened, state["open"], state["quiet"] = not state["open"], True, 0
+            return [("start",)] if opened else []
+        if not state["open"] or p >= self.threshold - self.slack:
+            return []
+        if not state["quiet"]:
+            state["quiet"] = state["at"]
+        elif state["at"] - state["quiet"] >= self.least:
+            state["open"], state["quiet"] = False, 0
+            return [("end",)]
+        return []
+
+
+def parent_of(unit: str) -> tuple[int, int]:
+    """'s:a#k' -> (s, a)."""
+    first, second = unit.split("#")[0].split(":")
+    return int(first), int(second)
+
+
+@dataclass
+class Voter(Stepper):
+    """Fires of many window widths, in order of time, become a chain of units. Rows: w1, key, cost; rows without a key carry ``win``,
+    the window's tokens, and ask whether the expected unit has begun.
+
+    A fire is passed over if its window hardly reaches past the last commit, if it is the unit just emitted, or if that unit was
+    emitted (first) less than ``repeat`` seconds ago. Twins of the expected unit count as it. A unit needs ``votes_next``
+    or ``votes_jump`` fires in a row; after ``streak_least`` expected commits a jump that is not near (the same first number, up
+    to ``near`` further) needs one more; at ``strong`` cost one fire is enough, two for such a jump. ``early``: the share of the
+    expected unit that must end the window for it to fire before it is over, only while the chain goes on as expected.
+    ``refs``: unit -> tokens, ``successor``: unit -> the next one, ``twins``: unit -> its look-alikes.
+    """
+
+    refs: dict
+    successor: dict
+    twins: dict
+    votes_next: int = 1
+    votes_jump: int = 2
+    most_cost: float = 0.30
+    strong: float = 0.15
+    advance: float = 2.0
+    overlap: float = 2.0
+    repeat: float = 20.0
+    streak_least: int = 3
+    near: int = 2
+    early: float | None = None
+    schema = "key string, w1 double, cost double"
+
+    def start(self):
+        return {"said": {}, "last": None, "expected": None, "rival": None, "votes": 0, "streak": 0, "taken": None}
+
+    def begun(self, state: dict, row: dict) -> tuple | None:
+        """(expected unit, cost) if its beginning stands at the window's end."""
+        from seqloom.functions.distances import prefix_norm
+
+        unit = state["expected"]
+        if self.early is None or unit is None or state["streak"] < 1 or unit not in self.refs:
+            return None
+        ref = self.refs[unit]
+        least = max(6, -int(-self.early * len(ref) // 1))
+        cost = prefix_norm(ref, row["win"], least) if len(ref) >= least else float("inf")
+        return (unit, cost) if cost <= self.most_cost else None
+
+    def is_near(self, unit: str, last: str | None) -> bool:
+        if last is None:
+            return True
+        (s, a), (t, b) = parent_of(last), parent_of(unit)
+        return s == t and 0 <= b - a <= self.near
+
+    def step(self, state, row):
+        key, cost, w1 = row["key"], row["cost"], row["w1"]
+        if not key:
+            found = self.begun(state, row)
+            if found is None:
+                return []
+            key, cost = found
+        elif cost > self.most_cost:
+            return []
+        early = state["taken"] is not None and w1 < state["taken"] + self.advance
+        if early or key == state["last"] or (key in state["said"] and w1 - state["said"][key] < self.repeat):
+            return []
+        expected = state["expected"]
+        if expected is not None and key != expected and (self.refs.get(key) == self.refs.get(expected, ()) or expected in self.twins.get(key, ())):
+            key = expected
+        goes_on = expected is not None and key == expected
+        costly = state["streak"] >= self.streak_least and not goes_on and not self.is_near(key, state["last"])
+        need = self.votes_next if goes_on else self.votes_jump + costly
+        if cost <= self.strong:
+            need = min(need, 1 + costly)
+        state["votes"] = state["votes"] + 1 if key == state["rival"] else 1
+        state["rival"] = key
+        if state["votes"] < need:
+            return []
+        state["streak"] = state["streak"] + 1 if goes_on else 0
+        state["said"].setdefault(key, w1)
+        state["last"], state["taken"], state["expected"] = key, w1 - self.overlap, self.successor.get(key)
+        state["rival"], state["votes"] = None, 0
+        return [(key, w1, cost)]
+
+
+@dataclass
+class PrefixDetector(Stepper):
+    """A detector of the unit that a growing window begins. Rows: win (tokens so far).
+
+    Units not shorter than ``least_share`` of the window are ranked by the cost of the window against their best prefix, less
+    the bonus of the sequential context. The leader commits when it has led for ``hold`` rows (``hold_jump`` if it is no
+    continuation) at a cost and progress that are plausible; a step back within a parent never does. ``refs``: unit -> tokens
+    in lexicon order, which breaks ties; ``order``: units in canonical order.
+    """
+
+    refs: dict
+    order: list
+    hold: int = 3
+    hold_jump: int = 5
+    least_progress: float = 0.2
+    most_cost: float = 0.75
+    least_share: float = 0.6
+    done: float = 0.85
+    bonus: float = 0.22
+    ahead: int = 2
+    same: float = 0.10
+    by_streak: float = 0.05
+    cap: int = 4
+    schema = "event string, key string, cost double, progress double, release boolean"
+
+    def start(self):
+        return {"leader": None, "run": 0, "held": None, "streak": 0, "released": False}
+
+    def relation(self, held: str | None, unit: str) -> str:
+        if held is None:
+            return "cold"
+        if unit == held:
+            return "current"
+        at = self.order.index(held)
+        if at + 1 < len(self.order) and self.order[at + 1] == unit:
+            return "continuation"
+        (s, a), (t, b) = parent_of(held), parent_of(unit)
+        return "backward" if s == t and b < a else "jump"
+
+    def favour(self, state: dict, unit: str) -> float:
+        """The sequential context's bonus: the next units, decaying and grown by the streak, then any of the same parent."""
+        held = state["held"]
+        if held is None:
+            return 0.0
+        gap = self.order.index(unit) - self.order.index(held)
+        near = (self.bonus + self.by_streak * state["streak"]) * (1 - (gap - 1) / (self.ahead + 1)) if 1 <= gap <= self.ahead else 0.0
+        return max(near, self.same if parent_of(unit)[0] == parent_of(held)[0] else 0.0)
+
+    def step(self, state, row):
+        from seqloom.functions.distances import prefix_align
+
+        window, scored = row["win"], []
+        for unit, ref in self.refs.items():
+            if len(ref) >= self.least_share * len(window):
+                cost, k = prefix_align(window, ref)
+                scored.append((cost - self.favour(state, unit), unit, k / len(ref)))
+        if not scored:
+            return []
+        cost, top, progress = min(scored, key=lambda x: x[0])
+        state["run"] = state["run"] + 1 if top == state["leader"] else 1
+        state["leader"] = top
+        kind = self.relation(state["held"], top)
+        need = self.hold_jump if kind == "jump" else self.hold
+        plausible = progress >= self.least_progress and cost <= self.most_cost and kind != "backward"
+        if plausible and state["run"] >= need and top != state["held"]:
+            state["streak"] = min(self.cap, state["streak"] + 1) if kind == "continuation" else 0
+            state["held"], state["run"] = top, 0
+            state["released"] = progress >= self.done
+            event = "detect" if kind == "cold" else "advance" if kind == "continuation" else "jump"
+            return [(event, top, round(cost, 3), progress, state["released"])]
+        own = next((p for _, u, p in scored if u == state["held"]), 0.0)
+        if state["held"] is not None and not state["released"] and own >= 0.95:
+            state["released"] = True
+            return [("release", state["held"], None, own, True)]
+        return []
+
+
+@dataclass
+class GatedReset(Stepper):
+    """A silence resets only soon after something was said. Rows: t, event (commit, emission, silence)."""
+
+    within: float = 4.0
+    schema = "t double"
+
+    def step(self, state, row):
+        if row["event"] != "silence":
+            state["said"] = row["t"]
+            return []
+        return [(row["t"],)] if "said" in state and row["t"] - state["said"] <= self.within else []
