@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     kind = edges.schema["a"].dataType
     now = cut(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
+        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct(), each=2
     )
     before = None
     for _ in range(max_rounds):
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == mark or mark[0] == 0:
             break
         before = mark
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now)), each=2)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()

@@ -562,7 +562,7 @@ def component_order(spark, d):
     return parts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # a report, one row a component
 
 
-# ---- state machines (order-dependent folds: no SQL; held against hand traces and batch == stream) --------------
+# ---- state machines: order-dependent folds, in SQL as recursive queries a row at a time ---------
 
 #: The canonical order of event letters for successor rules.
 AFTER = {"c": "e", "e": "p", "p": "s", "s": "v"}
@@ -572,26 +572,59 @@ def _ranked(spark, d):
     return events(spark, d).select("user_id", "ts", "event_id", F.col("tok").alias("key"), (1 / (1 + F.col("value"))).alias("cost"), (F.col("value") / 100).alias("margin"))
 
 
-@query()
+_NEXT = "CASE {k} WHEN 'c' THEN 'e' WHEN 'e' THEN 'p' WHEN 'p' THEN 's' WHEN 's' THEN 'v' END"
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT user_id, i, tok AS key, 1 / (1 + value) AS cost FROM ({_STREAM})), f(user_id, i, now, rival, seen, event, key, cost) AS (
+SELECT user_id, i, CASE WHEN cost <= 0.3::DOUBLE THEN key END, NULL::VARCHAR, 0, CASE WHEN cost <= 0.3::DOUBLE THEN 'detect' END, key, cost FROM t WHERE i = 1 UNION ALL
+SELECT user_id, i, CASE WHEN event IS NULL THEN now ELSE key END, CASE WHEN skip THEN rival WHEN event IS NULL AND key <> now THEN key END, CASE WHEN skip THEN seen WHEN event IS NULL AND key <> now THEN seen2 ELSE 0 END, event, key, cost FROM (
+SELECT t.user_id, t.i, now, rival, seen, t.key, t.cost, t.cost > 0.3::DOUBLE AS skip, CASE WHEN rival = t.key THEN seen + 1 ELSE 1 END AS seen2,
+CASE WHEN t.cost > 0.3::DOUBLE THEN NULL WHEN now IS NULL THEN 'detect' WHEN t.key = now THEN NULL WHEN t.key = {_NEXT.format(k='now')} THEN 'advance' WHEN CASE WHEN rival = t.key THEN seen + 1 ELSE 1 END >= 2 THEN 'jump' END AS event
+FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1))
+SELECT user_id, i - 1 AS at, event, key, cost FROM f WHERE event IS NOT NULL
+""")
 def sliding_events(spark, d):
     """T4: detect, advance and jump events of every stream."""
     return run.fold(_ranked(spark, d), "user_id", _ORDER, steppers.Segmenter(AFTER))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT user_id, i, CASE WHEN value / 100 >= 0.02::DOUBLE THEN tok END AS key FROM ({_STREAM})), f(user_id, i, leader, run, held, said) AS (
+SELECT user_id, i, key, 1, NULL::VARCHAR, NULL::VARCHAR FROM t WHERE i = 1 UNION ALL
+SELECT user_id, i, key, run2, CASE WHEN now THEN key ELSE held END, CASE WHEN now THEN key END FROM (SELECT *, key IS NOT NULL AND key IS DISTINCT FROM held AND run2 >= CASE WHEN held IS NULL THEN 2 ELSE 3 END AS now FROM (
+SELECT t.user_id, t.i, t.key, held, CASE WHEN t.key IS NOT DISTINCT FROM leader THEN run + 1 ELSE 1 END AS run2 FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1)))
+SELECT user_id, i - 1 AS at, said AS key FROM f WHERE said IS NOT NULL
+""")
 def commit_revise(spark, d):
     """Commits and their revisions (short runs, for five tokens only)."""
     return run.fold(_ranked(spark, d), "user_id", _ORDER, steppers.Commit(0.02, 2, 3))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT l_suppkey, l_orderkey::VARCHAR AS p, l_linenumber AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey::VARCHAR, l_linenumber) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem),
+f(l_suppkey, i, n, p, k, lp, lk, ap, ak, bp, bk, sure, xp, xk) AS (
+SELECT l_suppkey, i, n, p, k, NULL::VARCHAR, NULL::INTEGER, NULL::VARCHAR, NULL::INTEGER, p, k, false, NULL::VARCHAR, NULL::INTEGER FROM t WHERE i = 1 UNION ALL
+SELECT l_suppkey, i, n, p, k, CASE WHEN sure THEN p ELSE lp END, CASE WHEN sure THEN k ELSE lk END, CASE WHEN sure THEN NULL WHEN waits THEN bp ELSE ap END, CASE WHEN sure THEN NULL WHEN waits THEN bk ELSE ak END, CASE WHEN sure THEN NULL WHEN waits THEN p ELSE bp END, CASE WHEN sure THEN NULL WHEN waits THEN k ELSE bk END, sure, CASE WHEN second THEN bp WHEN first THEN ap END, CASE WHEN second THEN bk WHEN first THEN ak END
+FROM (SELECT *, first OR second OR coalesce(p = lp AND k > lk, false) AS sure, lp IS NULL OR p <> lp AS waits FROM (
+SELECT t.l_suppkey, t.i, t.n, t.p, t.k, lp, lk, ap, ak, bp, bk, coalesce(t.p = ap AND t.k > ak, false) AS first, coalesce(t.p = bp AND t.k > bk, false) AS second FROM f JOIN t ON t.l_suppkey = f.l_suppkey AND t.i = f.i + 1)))
+SELECT l_suppkey, i - 1 AS at, xp AS parent, xk AS place FROM f WHERE xp IS NOT NULL UNION ALL SELECT l_suppkey, i - 1, p, k FROM f WHERE sure
+UNION ALL SELECT l_suppkey, n, coalesce(ap, bp), CASE WHEN ap IS NULL THEN bk ELSE ak END FROM f WHERE i = n AND lp IS NULL
+""")
 def chain_assemble(spark, d):
     """The lines each supplier ships, in order of shipping, assembled to chains of an order's lines."""
     units = table(spark, d, "lineitem").select("l_suppkey", "l_shipdate", F.col("l_orderkey").cast("string").alias("parent"), F.col("l_linenumber").cast("int").alias("place"))
     return run.fold(units, "l_suppkey", ["l_shipdate", "parent", "place"], steppers.Assemble({}))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE t AS (SELECT user_id, i, tok AS a, 1 / (1 + value) AS ac, lag(tok) OVER (PARTITION BY user_id ORDER BY i) AS b, value / 100 AS bc FROM ({_STREAM})), f(user_id, i, older, last, event, key, source) AS (
+SELECT user_id, i, NULL::VARCHAR, a, 'detect', a, 'sliding' FROM t WHERE i = 1 UNION ALL
+SELECT user_id, i, CASE WHEN key IS NULL THEN older ELSE last END, coalesce(key, last), CASE WHEN key IS NULL THEN NULL WHEN key = want THEN 'advance' ELSE 'jump' END, key, source FROM (
+SELECT *, CASE WHEN fresh_a AND (NOT fresh_b OR (a IS DISTINCT FROM want, ac) <= (b IS DISTINCT FROM want, bc)) THEN a WHEN fresh_b THEN b END AS key, CASE WHEN fresh_a AND (NOT fresh_b OR (a IS DISTINCT FROM want, ac) <= (b IS DISTINCT FROM want, bc)) THEN 'sliding' WHEN fresh_b THEN 'stream' END AS source FROM (
+SELECT t.*, older, last, {_NEXT.format(k='last')} AS want, a <> last AND a IS DISTINCT FROM older AS fresh_a, b IS NOT NULL AND b <> last AND b IS DISTINCT FROM older AS fresh_b FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1)))
+SELECT user_id, i - 1 AS at, event, key, source FROM f WHERE event IS NOT NULL
+""")
 def merged_events(spark, d):
     """The event before is what the second detector says."""
     before = F.lag("key").over(Window.partitionBy("user_id").orderBy(*_ORDER))

@@ -59,13 +59,13 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fewer(df: DataFrame, each: int = 2) -> DataFrame:
+def fewer(df: DataFrame, each: int) -> DataFrame:
     """``df`` in at most ``each`` partitions for every core of the job, which take its own one after another: as many files
-    are written, and no row is moved."""
+    are written, and no row is moved. Tables that stay small have few files that way."""
     return df.coalesce(each * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, each: int = 8) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
     Never a local checkpoint: rows outlive the executor that made them.
@@ -74,18 +74,18 @@ def cut(df: DataFrame) -> DataFrame:
     settle(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return fewer(df).checkpoint(eager=True)
+    return fewer(df, each).checkpoint(eager=True)
 
 
 class Kept:
     """``df`` written as Parquet to the shared folder: a compressed lineage cut that is dropped by hand."""
 
-    def __init__(self, df: DataFrame, **options: str):
+    def __init__(self, df: DataFrame, each: int = 8, **options: str):
         self.spark = df.sparkSession
         settle(self.spark)
         self.path = f"{shared_folder(self.spark)}/kept-{uuid.uuid4().hex}"
         try:
-            fewer(df).write.options(**{"compression": "zstd"} | options).parquet(self.path)
+            fewer(df, each).write.options(**{"compression": "zstd"} | options).parquet(self.path)
         except BaseException:
             self.drop()
             raise
@@ -105,8 +105,8 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def __call__(self, df: DataFrame, **options: str) -> DataFrame:
-        kept = Kept(df, **options)
+    def __call__(self, df: DataFrame, each: int = 8, **options: str) -> DataFrame:
+        kept = Kept(df, each, **options)
         self.held[id(kept.df)] = kept
         return kept.df
 
