@@ -79,7 +79,6 @@ class Detector:
     def fires(self, tokens: DataFrame) -> DataFrame:
         """(stream, w1, kind, key, cost, win): the best unit of every window that is good enough, and, for early firing, the widest windows."""
         c, letters = self.config, self.letters()
-        order = list(self.units)
         rows = [(k, "".join(letters[t] for t in tokens), i) for i, (k, tokens) in enumerate(self.units.items())]
         units = self.spark.createDataFrame(rows, "unit string, ref string, unit_ord int")
         windows = self.windows(tokens)
@@ -100,7 +99,6 @@ class Detector:
         known = F.create_map(*[F.lit(x) for pair in back.items() for x in pair])
         heard = F.transform(split("win"), lambda x: F.coalesce(F.try_element_at(known, x), F.lit("")))
         asked = windows.where(F.col("window.scale") == float(max(c.scales))).select("window.stream", "window.w1", F.lit(0).alias("kind"), F.lit("").alias("key"), F.lit(0.0).alias("cost"), heard.alias("win"))
-        assert order
         return fired.unionByName(asked)
 
     def voter(self) -> steppers.Voter:
@@ -120,3 +118,40 @@ class Detector:
     def run_stream(self, fires: DataFrame, idle: str | None = None) -> DataFrame:
         """``run`` of an unbounded table of fires: one state a stream, finished after ``idle`` without rows."""
         return run.follow(fires, "stream", ["w1", "kind", "key", "cost"], self.voter(), idle)
+
+
+def decoded(buffers: DataFrame, decode) -> DataFrame:
+    """(stream, t0, samples: array<double>) -> (stream, t, token) by an injected ``decode``: samples -> [(token, seconds from t0), ...]."""
+    kind = dict(buffers.dtypes)["stream"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for stream, t0, samples in zip(*(batch.column(c).to_pylist() for c in ("stream", "t0", "samples"))):
+                out += [(stream, t0 + at, token) for token, at in decode(np.array(samples))]
+            streams, times, tokens = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(streams, batch.schema.field("stream").type), pa.array(times, pa.float64()), pa.array(tokens, pa.string())], names=["stream", "t", "token"])
+
+    return buffers.select("stream", "t0", "samples").mapInArrow(run, f"stream {kind}, t double, token string")
+
+
+def observe(spark: SparkSession, on_status):
+    """Calls ``on_status`` (name, batch, rows) after every micro-batch of any stream; returns the listener, for removal."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            on_status(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Listener()
+    spark.streams.addListener(listener)
+    return listener

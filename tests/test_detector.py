@@ -144,3 +144,32 @@ def test_banded_alignment():
         assert cost / len(ref) == distances.infix_norm(ref, given)
         assert all(ref[i] == given[j] for i, j in pairs) and pairs == sorted(pairs) and len(pairs) >= len(ref) - cost
     assert alignment.banded_alignment(list("abcd"), list("xxxxxxxxabcd"), least_band=1, share=0)[0] > 0
+
+
+def test_log_mel():
+    from seqloom.functions import audio
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(1000) * 0.1
+    got = audio.log_mel(x)
+    assert got.shape == (1000 // 160 + 1, 80)
+    t = 3  # one frame by the definition of the transform
+    padded = np.concatenate([x[200:0:-1], x, x[-2:-202:-1]])
+    frame = padded[160 * t : 160 * t + 400] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 400))
+    power = [abs(sum(frame[n] * np.exp(-2j * np.pi * k * n / 400) for n in range(400))) ** 2 for k in range(201)]
+    assert np.allclose(got[t], np.log(np.maximum(audio.mel_weights() @ np.array(power), 1e-10)))
+    assert len(audio.load_16k(b"junk")) == 8000 and len(audio.load_16k(None)) == 8000
+
+
+def test_decoded(spark):
+    from seqloom.api import decoded
+
+    rows = spark.createDataFrame([("a", 1.0, [0.1, 0.9]), ("a", 3.0, [0.2]), ("b", 0.0, [])], "stream string, t0 double, samples array<double>")
+    got = decoded(rows, lambda x: [(f"{v:.1f}", k / 2) for k, v in enumerate(x)]).collect()
+    assert sorted(map(tuple, got)) == [("a", 1.0, "0.1"), ("a", 1.5, "0.9"), ("a", 3.0, "0.2")]
+
+
+def test_command_line(capsys):
+    from seqloom.__main__ import main
+
+    assert main(["list"]) == 0 and "session_top_unit: " in capsys.readouterr().out
