@@ -6,61 +6,81 @@ finds the tightest open window that takes a piece. Pieces are dealt by hash into
 ``group_docs`` documents that are packed independently, so nothing global is sorted or collected and
 the padding lost to grouping is at most a few windows a group.
 
-Tokenising is the cost here: a text is split by the vocabulary's own pre-tokeniser pattern, and the ids
-of every distinct piece are taken from the tokeniser once a worker (a cache of at most
-``CACHE`` pieces); byte-level BPE never crosses such pieces, so the ids are those of the whole text.
-Texts that hold a special token's string go to the tokeniser whole.
+Tokenising is the cost here. The vocabulary's merges are a byte-pair encoding by rank, so its ids are
+computed by a faster encoder of the same ranks and pre-tokeniser pattern; texts that hold a special token's string or a run
+of over ``RUN`` characters without a space go to the tokeniser itself. Very long texts are encoded in stretches cut
+before single spaces, where no pre-token crosses.
 
 Defined cases: null text is empty and has the one id 0; a document whose ids fill windows exactly has
-no left-over piece; repeated rows are packed each; ties in length go by doc_id, then start; empty
-tables give empty results; other columns are ignored.
+no left-over piece; repeated rows are packed each; very long texts are cut like any others; ties in length go by
+doc_id, then start, then checksum; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqloom.llm.arrow import documents, map_batches, map_sorted_groups
+from seqloom.llm.arrow import documents, map_batches, map_sorted_groups, texts
 
-CACHE = 300_000
 CAPACITY = 1024
+RUN, STRETCH = 100_000, 1 << 20
 
 
-class Ids(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit bytes."""
+class Ids:
+    """The ids of whole texts, as little-endian unsigned 32-bit bytes, by the byte-level BPE tokenizer at ``path``."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
+        import tiktoken
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.path, self.special = path, [t["content"] for t in spec["added_tokens"]]
+        letters = {letter: byte for byte, letter in byte_letters().items()}
+        vocab = {word: k for word, k in spec["model"]["vocab"].items() if word not in self.special}
+        made = [vocab["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in spec["model"]["merges"]]
+        # merging by order of the list is merging by rank only if ids rise along the list
+        self.ranked = all(a < b for a, b in zip(made, made[1:]))
+        ranks = {bytes(letters[c] for c in word): k for word, k in vocab.items()}
+        self.fast = tiktoken.Encoding("fast", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.gap = regex.compile(r"(?<=\S) (?=\S)")
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.bpe = self.tokenizer.model.tokenize
-        self.letters = byte_letters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return Tokenizer.from_file(self.path)
+
+    def plain(self, text: str) -> bool:
+        """Whether the fast encoder gives the tokenizer's ids in good time."""
+        return self.ranked and not any(s in text for s in self.special) and (len(text) <= RUN or longest_run(text) <= RUN)
+
+    def of(self, text: str) -> bytes:
+        if not self.plain(text):
+            return raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(text) <= STRETCH:
+            return raw(self.fast.encode_ordinary(text))
+        out, at = bytearray(), 0
+        while at < len(text):
+            found = self.gap.search(text, at + STRETCH)
+            end = found.start() if found else len(text)
+            out += raw(self.fast.encode_ordinary(text[at:end]))
+            at = end
+        return bytes(out)
 
-    def __missing__(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        found = self[piece] = array("I", [t.id for t in self.bpe(letters)]).tobytes()
-        return found
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        if len(self) > CACHE:
-            self.clear()
-        get = self.__getitem__
-        return [raw(self.tokenizer.encode(t, add_special_tokens=False).ids) if found is None else b"".join(map(get, found)) for t, found in zip(texts, pieces)]
+def longest_run(text: str) -> int:
+    """The most characters between two spaces."""
+    return max(map(len, text.split(" ")))
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,7 +95,7 @@ def raw(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
     return Ids(path)
 
@@ -142,22 +162,22 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
 
     def make(batch: pa.RecordBatch) -> dict:
-        values = [t or "" for t in batch.column("text").to_pylist()]
+        values = [t.decode("utf-8", "replace") for t in texts(batch)]
         names = batch.column("doc_id").to_pylist()
         out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
         step = 4 * capacity
-        for k in range(0, len(values), 256):
-            for name, ids in zip(names[k : k + 256], ids_of(path).of(values[k : k + 256])):
-                ids += end
-                for a in range(0, len(ids), step):
-                    part = ids[a : a + step]
-                    out["doc_id"].append(name)
-                    out["start"].append(a // 4)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-                    out["doc_tokens"].append(len(ids) // 4)
-                    if with_ids:
-                        out["ids"].append(part)
+        encode = ids_of(path).of
+        for name, text in zip(names, values):
+            ids = encode(text) + end
+            for a in range(0, len(ids), step):
+                part = ids[a : a + step]
+                out["doc_id"].append(name)
+                out["start"].append(a // 4)
+                out["length"].append(len(part) // 4)
+                out["ids_crc32"].append(zlib.crc32(part))
+                out["doc_tokens"].append(len(ids) // 4)
+                if with_ids:
+                    out["ids"].append(part)
         return out
 
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), make, schema)
