@@ -236,6 +236,34 @@ def batched_prefix_align(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return row[1:].min(0) / len(x)
 
 
+def batched_levenshtein(left: list[str], right: list[str]) -> np.ndarray:
+    """Distances of many pairs of any lengths: one table for all, read where each pair ends."""
+    n, m = (np.array([len(s) for s in side]) for side in (left, right))
+    pad = lambda side, size, fill: np.frombuffer("".join(s.ljust(size, fill) for s in side).encode("utf-32-le"), np.uint32).reshape(len(side), size).T
+    x, y = pad(left, int(n.max(initial=0)), "\0"), pad(right, int(m.max(initial=0)), "\1")
+    out = np.zeros(len(left), dtype=np.int64)
+    for i, row in enumerate(_rows(x, y, np.repeat(np.arange(len(y) + 1, dtype=np.int16)[:, None], len(left), axis=1))):
+        ends = np.flatnonzero(n == i)
+        out[ends] = row[m[ends], ends]
+    return out
+
+
+def levenshtein_letters(a: Column, b: Column) -> Column:
+    """The distance of strings of one-letter tokens, a batch of pairs at a time; several times as fast as one pair after another."""
+
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        left, right = a.to_pylist(), b.to_pylist()
+        known = [k for k, (x, y) in enumerate(zip(left, right)) if x is not None and y is not None]
+        out, missing = np.zeros(len(left), dtype=np.int32), np.ones(len(left), dtype=bool)
+        for k in range(0, len(known), 1024):
+            some = known[k : k + 1024]
+            out[some], missing[some] = batched_levenshtein([left[j] for j in some], [right[j] for j in some]), False
+        return pa.array(out, mask=missing)
+
+    return run(a, b)
+
+
 def infix_norm_letters(ref: Column, window: Column) -> Column:
     return _by_lengths(batched_infix)(ref, window)
 

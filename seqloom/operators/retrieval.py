@@ -119,30 +119,22 @@ def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit:
 
     A pair's lengths differ by no more than its distance allows, so units are dealt into length buckets of
     geometric width, and each meets its own bucket and the next one by an equi join. A bucket of over ``limit`` units is
-    cut into chunks, each pair of which is a join key of its own. Of a pair, the letters that one has more of than the
-    other bound the distance from below; only pairs within the bound are aligned, and only up to their cutoff.
+    cut into chunks, each of which is a join key of its own. Distances are computed for a batch of pairs at a time.
     """
     u = units.select(F.col(unit).alias("id"), F.col(code).alias("code"), F.length(code).alias("len")).where("len > 0")
     step = 1.0 / (1.0 - tau)
-    u = u.withColumn("bucket", F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(step)) + 1e-9)).withColumn("bag", _bag("code"))
+    u = u.withColumn("bucket", F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(step)) + 1e-9))
     sizes = u.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("chunks"))  # a row for each power of a length
     left = u.withColumn("meets", F.explode(F.array("bucket", F.col("bucket") + 1))).join(F.broadcast(sizes.withColumnRenamed("bucket", "meets")), "meets")
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = u.join(F.broadcast(sizes), "bucket").select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), F.col("bag").alias("bag2"), F.col("bucket").alias("meets"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    right = u.join(F.broadcast(sizes), "bucket").select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), F.col("bucket").alias("meets"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
     pairs = left.join(right, ["meets", "chunk"]).where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
     cutoff = F.floor(F.lit(tau) * F.col("len2")).cast("int")
-    lacks = F.aggregate(F.map_entries("bag2"), F.lit(0), lambda n, x: n + F.greatest(F.lit(0), x["value"] - F.coalesce(F.try_element_at("bag", x["key"]), F.lit(0))))
-    near = pairs.withColumn("cutoff", cutoff).where((F.col("len2") - F.col("len") <= F.col("cutoff")) & (lacks <= F.col("cutoff")))
-    near = near.withColumn("dist", F.expr("levenshtein(code, code2, cutoff)")).where("dist >= 0")  # -1 beyond the cutoff
+    near = pairs.withColumn("cutoff", cutoff).where(F.col("len2") - F.col("len") <= F.col("cutoff"))
+    near = near.withColumn("dist", distances.levenshtein_letters(F.col("code"), F.col("code2"))).where("dist <= cutoff")
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "dist").distinct()
 
 
-def _bag(code: str) -> Column:
-    """Letter -> how often it stands in the string."""
-    letters = F.filter(F.split(F.col(code), ""), lambda x: x != "")
-    return F.map_from_arrays(F.array_distinct(letters), F.transform(F.array_distinct(letters), lambda x: F.size(F.filter(letters, lambda y: y == x))))
-
-
 def confusable_components(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs.select("a", "b"))
 

@@ -31,8 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: An execution's shuffle files go when it ends, and Arrow batches are bounded in bytes, not in rows alone.
-SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: An execution's shuffle files go when it ends; Arrow batches are bounded in bytes, not in rows alone; Parquet is read 512 rows at
+#: a time, since long texts make batches of thousands of rows large.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 
 
 def settle(spark: SparkSession) -> None:
@@ -83,9 +88,10 @@ class Kept:
     def __init__(self, df: DataFrame, each: int = 8, **options: str):
         self.spark = df.sparkSession
         settle(self.spark)
+        options = {"compression": "zstd", "parquet.block.size": str(16 << 20)} | options  # small row groups: writers hold one each
         self.path = f"{shared_folder(self.spark)}/kept-{uuid.uuid4().hex}"
         try:
-            fewer(df, each).write.options(**{"compression": "zstd"} | options).parquet(self.path)
+            fewer(df, each).write.options(**options).parquet(self.path)
         except BaseException:
             self.drop()
             raise

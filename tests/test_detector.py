@@ -28,6 +28,12 @@ def test_batched_distances():
         assert np.allclose(distances.batched_prefix_align(x, y), [distances.prefix_align(a, b)[0] for a, b in pairs])
 
 
+def test_batched_levenshtein():
+    rng = random.Random(2)
+    left, right = (["".join(rng.choices("abc", k=rng.randrange(0, 15))) for _ in range(60)] for _ in "xy")
+    assert distances.batched_levenshtein(left, right).tolist() == [distances.levenshtein(a, b) for a, b in zip(left, right)]
+
+
 def fire(w1, key, cost=0.2, win=None):
     return {"w1": float(w1), "key": key, "cost": cost, "win": win}
 
