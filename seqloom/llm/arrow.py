@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.runtime import settle
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -15,6 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict | pa.RecordBatch | None], schema: str) -> DataFrame:
     """``df`` through ``make``, one Arrow batch at a time; ``make`` returns columns by name."""
+    settle(df.sparkSession)
     kind = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -23,17 +27,19 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict | pa.Record
                 out = make(batch)
                 if out is not None:
                     yield to_batch(out, kind)
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
-def map_sorted_groups(df: DataFrame, keys: list[str], make: Callable[[pa.Table], dict | None], schema: str, most_rows: int = 50_000, most_bytes: int = 16 << 20) -> DataFrame:
+def map_sorted_groups(df: DataFrame, keys: list[str], make: Callable[[pa.Table], dict | None], schema: str, most_rows: int = 50_000, most_bytes: int = 4 << 20) -> DataFrame:
     """``make`` gets whole groups of ``keys``, several at a time.
 
     ``df`` must be partitioned by the keys and sorted by them within partitions. Rows are buffered
     until a key changes and the buffer holds ``most_rows`` rows or ``most_bytes`` bytes, so memory is
     bounded by that plus the largest group; callers bound their groups.
     """
+    settle(df.sparkSession)
     kind = _arrow_schema(df.sparkSession, schema)
 
     def cuts(table: pa.Table) -> np.ndarray:
@@ -67,10 +73,20 @@ def map_sorted_groups(df: DataFrame, keys: list[str], make: Callable[[pa.Table],
             out = make(pa.Table.from_batches(held).combine_chunks())
             if out is not None:
                 yield to_batch(out, kind)
+        held.clear()
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Gives back what Arrow and the C library hold for later: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def to_batch(out: dict | pa.RecordBatch, kind: pa.Schema) -> pa.RecordBatch:
     if isinstance(out, pa.RecordBatch):
         return out

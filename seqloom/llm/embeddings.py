@@ -8,13 +8,17 @@ one projection agrees with probability p (closed form below), so a pair is found
 keeps buckets small. Every pair that shares a bucket is then checked exactly in double precision, and
 counted in the first table in which it meets.
 
-Hot buckets are split into pairs of chunks, so no task holds one whole; pairs never leave a task, only
-link counts and spanning links do.
+Buckets are formed from keys alone; a vector follows only into buckets that it shares, in the type it came in. Hot buckets
+are split into pairs of chunks, so no task holds one whole; pairs never leave a task, only link counts and
+spanning links do.
 
 Defined cases: null labels, null or zero vectors, null or non-finite components and lengths that differ
-link with nothing (0 links, own component); exact copies link with each other; repeated rows count
-as other vectors; rows with a null vec_id have no component and are not kept; an empty table gives an
-empty result; other columns are ignored.
+link with nothing (0 links, own component); exact copies of one label link with each other; repeated rows count
+as other vectors, as do two vectors of one vec_id, each with its own label and links; components are named by their least
+vec_id, so ids that name two vectors can name two components; rows with a null vec_id link and count like others but
+have no component of their own name and are not kept; components of any size up to the largest double are
+scaled first; very long vectors are hashed and compared whole; an empty table gives an empty result; other
+columns are ignored. Copies are told by 128-bit hashes of label and vector.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.llm.arrow import map_batches, map_sorted_groups
-from seqloom.llm.buckets import Forest, group_numbers, pair_groups
+from seqloom.llm.buckets import Forest, dealt, group_edges, pair_groups
 from seqloom.operators.components import connected_components
-from seqloom.runtime import cut
+from seqloom.runtime import Scratch, cut
 
 WIDTH, LIMIT = 1.6, 1024
 
@@ -59,7 +63,7 @@ def keys_of(vectors: np.ndarray, k: int, tables: int, seed: int = 8) -> np.ndarr
 
 
 def links_in_group(vectors: np.ndarray, keys: np.ndarray, table: int, weight: np.ndarray, cross: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row counted here, first row of its component).
+    """(links of each row counted here, first row of its component). ``vectors`` are scaled: no component is over 1.
 
     ``cross``: rows' chunk numbers when only rows of different chunks are compared.
     """
@@ -78,65 +82,85 @@ def links_in_group(vectors: np.ndarray, keys: np.ndarray, table: int, weight: np
     return count.astype(np.int64), forest.label
 
 
+def scaled(flat: np.ndarray, width: int) -> np.ndarray:
+    """(n, width) doubles, every row divided by its largest component, so that squares neither overflow nor vanish."""
+    x = flat.reshape(-1, width).astype(np.float64)
+    return x / np.abs(x).max(1, keepdims=True)
+
+
+def hashed_classes(classes: DataFrame, k: int, tables: int) -> DataFrame:
+    """(node, label, width, keys) of every class."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        lists = batch.column("v")
+        widths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(widths)])
+        keys = np.zeros((len(widths), tables), dtype=np.int64)
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            x = scaled(flat[(at[rows][:, None] + np.arange(width)).ravel()], width)
+            keys[rows] = keys_of(x / np.sqrt((x * x).sum(1, keepdims=True)), k, tables)
+        return {"node": batch.column("node"), "label": batch.column("label"), "width": pa.array(widths.astype(np.int32)), "keys": pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))}
+
+    kind = classes.schema["label"].dataType.simpleString()
+    return map_batches(classes.select("node", "label", "v"), make, f"node bigint, label {kind}, width int, keys array<bigint>")
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, limit: int = LIMIT) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    classes = cut(rows.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).where("node is not null"))
-    k, tables = scheme(classes.count(), threshold)
-
-    def hashed(batch: pa.RecordBatch) -> dict:
-        lists = batch.column("v").to_pylist()
-        keys: list = [None] * len(lists)
-        for size in {len(x) for x in lists}:
-            at = [i for i, x in enumerate(lists) if len(x) == size]
-            x = np.array([lists[i] for i in at])
-            x = x / np.abs(x).max(1, keepdims=True)
-            found = keys_of(x / np.sqrt((x * x).sum(1, keepdims=True)), k, tables)
-            for i, row in zip(at, found.tolist()):
-                keys[i] = row
-        return {"node": batch.column("node"), "copies": batch.column("copies"), "v": batch.column("v"), "keys": keys}
+    known = rows.where("fine").select("vec_id", "label", "v", F.xxhash64("label", "v").alias("c1"), F.xxhash64(F.lit(7).cast("bigint"), "label", "v").alias("c2"))
+    alone = rows.where("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    with Scratch() as keep:
+        copies = known.groupBy("c1", "c2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        classes = keep(copies.withColumn("node", F.xxhash64(F.monotonically_increasing_id())))  # one-to-one on 64-bit numbers
+        k, tables = scheme(classes.count(), threshold)
+        keyed = keep(hashed_classes(classes, k, tables))
+        found = keep(bucket_links(classes, keyed, tables, threshold, limit, keep))
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+        parts = connected_components(found.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        named = keep(classes.select("c1", "c2", "node", "least", "copies").join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        told = cut(named.join(names, "component").select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
+    whole = known.select("vec_id", "c1", "c2").join(told, ["c1", "c2"]).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return whole.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
-    kind = classes.schema["label"].dataType.simpleString()
-    known = map_batches(classes.select("node", "copies", "v"), hashed, "node bigint, copies bigint, v array<double>, keys array<bigint>")
-    # the label joins the key, so only vectors of one label and one length meet
-    known = known.join(classes.select("node", F.col("label").cast(kind).alias("label")), "node")
-    cells = known.select("node", "copies", "v", "keys", "label", F.size("v").alias("width"), F.posexplode("keys").alias("t", "cell"))
-    groups = pair_groups(cells, ["label", "width", "t", "cell"], "node", limit)
-    names = ["label", "width", "t", "cell", "lo", "hi"]
+
+def bucket_links(classes: DataFrame, keyed: DataFrame, tables: int, threshold: float, limit: int, keep: Scratch) -> DataFrame:
+    """(node, links, first): for every class and group its links counted there and the first class of its component there."""
+    # the label is part of the key, so only vectors of one label and one length meet
+    cells = keyed.select("node", "label", "width", F.posexplode("keys").alias("t", "cell"))
+    names = ["label", "width", "t", "cell"]
+    groups = pair_groups(cells, names, "node", limit).select(F.xxhash64(*names).alias("g1"), F.xxhash64(F.lit(7).cast("bigint"), *names).alias("g2"), "t", "chunk", "lo", "hi", "node")
+    vectors = classes.select("node", "v", "copies").join(keyed.select("node", "keys"), "node")
+    # of its keys a vector takes those of earlier tables along: a pair counts in the first table in which it meets
+    met = groups.join(vectors, "node").withColumn("keys", F.slice("keys", F.lit(1), F.col("t")))
 
     def make(table: pa.Table) -> dict:
-        of = group_numbers([table[c].to_numpy(zero_copy_only=False) for c in names])
-        edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        t, chunk, lo, hi = (table[c].to_numpy() for c in ("t", "chunk", "lo", "hi"))
+        edges = group_edges([table["g1"].to_numpy(), table["g2"].to_numpy(), lo, hi])
         node, copies = table["node"].to_numpy(), table["copies"].to_numpy().astype(float)
         flat, keys = table["v"].combine_chunks(), table["keys"].combine_chunks()
-        flat_v, flat_k, width = flat.flatten().to_numpy(), keys.flatten().to_numpy().reshape(len(node), tables), table["width"].to_numpy()
-        start = np.concatenate([[0], np.cumsum(width)])
-        t, chunk, lo, hi = (table[c].to_numpy() for c in ("t", "chunk", "lo", "hi"))
+        flat_v, flat_k = flat.flatten().to_numpy(), keys.flatten().to_numpy()
+        start, before = (np.concatenate([[0], np.cumsum(np.diff(x.offsets.to_numpy()))]) for x in (flat, keys))
         out: dict[str, list] = {"node": [], "links": [], "first": []}
         for a, b in zip(edges, edges[1:]):
             if b - a < 2:
                 continue
-            x = flat_v[start[a] : start[b]].reshape(b - a, -1)
+            x = scaled(flat_v[start[a] : start[b]], int(start[a + 1] - start[a]))
             cross = chunk[a:b] if lo[a] != hi[a] else None
-            count, first = links_in_group(x, flat_k[a:b], int(t[a]), copies[a:b], cross, threshold)
+            count, first = links_in_group(x, flat_k[before[a] : before[b]].reshape(b - a, int(t[a])), int(t[a]), copies[a:b], cross, threshold)
             some = (count > 0) | (first != np.arange(b - a))
             out["node"] += node[a:b][some].tolist()
             out["links"] += count[some].tolist()
             out["first"] += node[a:b][first[some]].tolist()
         return out
 
-    found = cut(map_sorted_groups(groups.select(*names, "chunk", "node", "copies", "v", "keys"), names, make, "node bigint, links bigint, first bigint", most_rows=8_000))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    named = classes.join(counts, "node", "left").join(parts, "node", "left").select(
-        "label", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
-    )
-    whole = rows.where("fine").join(named, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.col("component")).alias("component_id"))
-    alone = rows.where("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return whole.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    columns = ["g1", "g2", "lo", "hi", "t", "chunk", "node", "copies", "v", "keys"]
+    return map_sorted_groups(dealt(met.select(*columns), ["g1", "g2"], "node"), ["g1", "g2", "lo", "hi"], make, "node bigint, links bigint, first bigint", most_rows=8_000)
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

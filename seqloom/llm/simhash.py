@@ -10,10 +10,11 @@ Inside buckets the comparison is bit-sliced: bit planes are stored vertically (a
 fingerprints), and a whole bucket run is compared with itself shifted by 1, 2, ... rows. Carry-save
 adders update 64 distances with a few word operations a plane, and words whose 64 distances
 all exceed the radius are abandoned. Only spanning links leave a task; components come from
-distributed star contraction.
+distributed star contraction. A bucket of over ``limit`` fingerprints is first compared with its least row's, one
+by one; only fingerprints that are not linked to it meet the others, in chunks.
 
 Defined cases: null or wordless text has fingerprint 0, linked like any other; fewer words than a
-shingle make one shingle; repeated rows get the same component, and of rows that share a doc_id but
+shingle make one shingle; very long texts are hashed whole; repeated rows get the same component, and of rows that share a doc_id but
 not the text each gets its own text's; rows with a null doc_id have no component; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.llm.arrow import documents, map_batches, map_sorted_groups, texts
-from seqloom.llm.buckets import Forest, group_numbers, pair_groups
+from seqloom.llm.buckets import Forest, dealt, far_groups, group_numbers
 from seqloom.operators.components import connected_components
 from seqloom.runtime import cut
 
@@ -171,26 +172,36 @@ def link_edges(nodes: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Da
     """(node, fp) with distinct fp -> (a, b): links that span every component of fingerprints within ``radius``."""
     masks = table_masks(blocks_for(nodes.count(), radius), radius)
     keyed = nodes.select("node", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in masks])).alias("t", "bits"))
-    groups = pair_groups(keyed, ["t", "bits"], "node", limit)
+    shared = keyed.groupBy("t", "bits").agg(F.count("*").alias("n"), F.min("fp").alias("pivot"), F.min_by("node", "fp").alias("pivot_node")).where("n > 1")
+    met = cut(keyed.join(shared, ["t", "bits"]), each=2)
+    keys = ["t", "bits", "lo", "hi"]
 
     def make(table: pa.Table) -> dict:
-        of = group_numbers([table[c].to_numpy() for c in ("t", "bits", "lo", "hi")])
+        of = group_numbers([table[c].to_numpy() for c in keys])
         node = table["node"].to_numpy()
         first = linked(table["fp"].to_numpy().view(np.uint64), of, radius)
         moved = first != np.arange(len(first))
         pairs = np.unique(np.stack([node[first[moved]], node[moved]], axis=1), axis=0)
         return {"a": pairs[:, 0], "b": pairs[:, 1]}
 
-    return map_sorted_groups(groups.select("t", "bits", "lo", "hi", "node", "fp"), ["t", "bits", "lo", "hi"], make, "a bigint, b bigint")
+    whole = met.where(f"n <= {limit}").select("t", "bits", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", "fp")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius
+    hot = met.where(f"n > {limit}").select("t", "bits", "node", "fp", "pivot_node", near.alias("near"))
+    split = far_groups(hot.drop("pivot_node"), ["t", "bits"], "node", limit)
+    groups = whole.unionByName(split).select(*keys, "node", "fp")
+    found = map_sorted_groups(dealt(groups, ["t", "bits"], "node"), keys, make, "a bigint, b bigint")
+    return found.unionAll(hot.where("near and node <> pivot_node").select(F.col("pivot_node").alias("a"), F.col("node").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links."""
-    prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = connected_components(link_edges(nodes, radius))
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    prints = cut(fingerprints(docs, shingle), each=4)  # 16 bytes a document
+    nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(F.monotonically_increasing_id())), each=2)  # one-to-one
+    parts = connected_components(link_edges(nodes.select("node", "fp"), radius))
+    grouped = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(names, "component").select("fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,36 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_cases(spark):
+    """Two vectors of one id, clashing labels, huge doubles; components by brute force."""
+    x, y = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(1, x, 0), (1, y, 1), (9, [0.0, 1.0, 0.11], 1), (10, [1.0, 0.0, 0.11], 0), (20, [1e200, 2e200, 0.0], 3), (21, [2e199, 4e199, 0.0], 3), (22, [1e-200, 2e-200, 0.0], 3), (23, [1e200, -2e200, 0.0], 3)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (9, 1, 1, False), (10, 1, 1, False), (20, 2, 20, True), (21, 2, 20, False), (22, 2, 20, False), (23, 0, 23, True)]
+    apart = [(1, x, 0), (1, y, 1), (9, [0.0, 1.0, 0.11], 2), (10, [1.0, 0.0, 0.11], 1)]
+    got = sorted((r["vec_id"], r["n_links"]) for r in embeddings.near_duplicates(spark.createDataFrame(apart, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0), (1, 0), (9, 0), (10, 0)]
+
+
+def test_embedding_components(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((30, 24))
+    found = [(k, (centres[k % 30] + 0.05 * rng.standard_normal(24)).tolist(), "ab"[k % 2]) for k in range(300)]
+    found += [(1000 + k, found[0][1], "a") for k in range(40)]
+    m = np.array([x[1] for x in found], dtype=np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    links = (m @ m.T >= 0.93) & (np.array([x[2] for x in found])[:, None] == np.array([x[2] for x in found])[None, :])
+    np.fill_diagonal(links, False)
+    ids = np.array([x[0] for x in found])
+    label = ids.copy()
+    for _ in found:
+        label = np.minimum(label, np.where(links, label[None, :], 1 << 40).min(1))
+    df = spark.createDataFrame(found, "vec_id long, embedding array<float>, label string")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, limit=16).collect()}
+    assert [got[k]["component_id"] for k in ids.tolist()] == label.tolist()
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * links.sum() and all(got[k]["n_links"] <= n for k, n in zip(ids.tolist(), links.sum(1)))
+
+
 def test_lines(docs, rows, empty):
     got = {r["row"]["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert got[206]["kept"] == "same line here to stay" and (got[206]["n_lines"], got[206]["n_kept"]) == (5, 1)
@@ -127,20 +157,25 @@ def test_lines(docs, rows, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
-def test_line_links():
-    rng = random.Random(8)
-    found = [prose(rng, 30) for _ in range(20)]
-    found += [x[:40] + "q" + x[41:] for x in found]
-    sets = [lines.shingles(x) for x in found]
-    label = list(range(len(found)))
-    for _ in found:
-        for i, a in enumerate(sets):
-            label[i] = min(label[j] for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
-    assert lines.links_in_bucket(found) == label
-    keys = lines.signatures(found)
-    for i in range(20):
-        if label[i + 20] == i:
-            assert (keys[i] == keys[i + 20]).any()
+def test_simhash_hot_bucket(spark, monkeypatch):
+    """Hundreds of texts in one bucket, most within the radius of its first: whole and split buckets agree."""
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 62, 3, dtype=np.int64)
+    fps = {int(c) ^ (1 << int(a)) ^ (1 << int(b)) ^ (1 << int(e)) for c in centre for a, b, e in rng.integers(0, 62, (120, 3))}
+    nodes = spark.createDataFrame(list(enumerate(sorted(fps))), "node long, fp long").cache()
+    from seqloom.operators.components import connected_components
+
+    def parts(limit):
+        return sorted((r["node"], r["component"]) for r in connected_components(simhash.link_edges(nodes, 4, limit)).collect())
+
+    ids = sorted(fps)
+    v = np.array(ids, dtype=np.int64)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
+    label = np.arange(len(v))
+    for _ in range(len(v)):
+        label = np.where(near, label[None, :], len(v)).min(1)
+    want = [(k, int(x)) for k, x in enumerate(label) if (label == x).sum() > 1]
+    assert parts(4096) == want == parts(8)
 
 
 def test_packing(docs, rows, empty):
@@ -193,6 +228,60 @@ def test_quality_rules(docs, rows, empty):
     assert quality_rules.quality_posterior(empty).count() == 0
 
 
+def plain_em(rows, start, rounds=300):
+    """EM over documents one by one: (posteriors, accuracies)."""
+    post = list(start)
+    for _ in range(rounds):
+        good = []
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in post]
+            good.append([(sum(w for w, r in zip(weight, rows) if r[k] == 1) + 1) / (sum(w for w, r in zip(weight, rows) if r[k]) + 2) for k in range(len(rows[0]))])
+        share = (sum(post) + 1) / (len(post) + 2)
+        for i, r in enumerate(rows):
+            level = [1 - share, share]
+            for c in (0, 1):
+                for k, v in enumerate(r):
+                    level[c] *= good[c][k] if v == 1 else 1 - good[c][k] if v == -1 else 1
+            post[i] = level[1] / (level[0] + level[1])
+    return post, good
+
+
+def test_em_recovers_planted_accuracies():
+    rng = random.Random(30)
+    truth = [rng.random() < 0.8 for _ in range(600)]
+    accuracy = [(0.9, 0.2), (0.95, 0.4), (0.85, 0.1), (0.9, 0.3), (0.5, 0.5)]  # P(good vote | good), P(good vote | bad); the last says nothing
+    rows = [tuple((1 if rng.random() < (g if y else b) else -1) if rng.random() < 0.8 else 0 for g, b in accuracy) for y in truth]
+    counts = Counter(rows)
+    patterns = np.array(sorted(counts))
+    post, good, share = quality_rules.fit(patterns, np.array([counts[tuple(p)] for p in patterns], dtype=float))
+    by_row = {tuple(p): x for p, x in zip(patterns.tolist(), post)}
+    assert abs(share - 0.8) < 0.06
+    for k, (g, b) in enumerate(accuracy):
+        assert abs(good[1][k] - g) < 0.07 and abs(good[0][k] - b) < 0.17
+    assert sum((by_row[r] >= 0.5) == y for r, y in zip(rows, truth)) / len(rows) > 0.9
+    slow, theirs = plain_em(rows, [by_row[r] for r in rows])
+    assert max(abs(by_row[r] - p) for r, p in zip(rows, slow)) < 1e-4 and np.abs(np.array(theirs) - good).max() < 1e-4
+    # a bad vote of the rule that says nothing is outvoted
+    assert by_row.get((1, 1, 1, 1, -1), 1.0) >= 0.5
+    assert quality_rules.fit(np.zeros((0, 3)), np.zeros(0))[0].shape == (0,)
+    clean, _, _ = quality_rules.fit(np.array([[1, 1, 1], [1, 0, 1]]), np.array([50.0, 9.0]))
+    assert (clean >= 0.5).all()
+
+
+def test_quality_verdict(spark):
+    """Junk of any kind goes, short clean texts stay although the length rule votes against them."""
+    rng = random.Random(31)
+    clean = lambda n: " ".join(prose(rng, 9).capitalize() + "." for _ in range(n // 9 + 1))
+    made = [(k, clean(rng.choice([18, 30, 200, 300]))) for k in range(400)]
+    made += [(1000 + k, " ".join(w + "%%%" for w in prose(rng, 150).split())) for k in range(30)]
+    made += [(2000 + k, "BUY NOW!!! CHEAP!!! " * 60) for k in range(30)]
+    made += [(3000 + k, "\n".join(["menu | login | home | cart"] * 30)) for k in range(30)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_posterior(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert sum(got[k]["kept"] for k in range(400)) >= 396
+    assert any(got[k]["v_length"] == -1 and got[k]["kept"] for k in range(400))  # not all must pass
+    assert not any(got[k]["kept"] for k in got if k >= 1000)
+
+
 def test_licenses(docs, rows, empty):
     pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     want = Counter()
@@ -218,15 +307,72 @@ def test_license_join_is_exact(spark):
         assert got[k] == {label for label, t in templates if any(len(b & set(t.split())) >= 5 for b in blocks)}
 
 
-def test_mixing(docs, rows, empty):
-    got = mixing.mix(docs, rounds=40).collect()
+def capped_fit(cells, goals, rounds=300):
+    """Cell -> expected tokens by bounded iterative fitting, one value at a time."""
+    have = {c: t * 0.5 for c, t in cells.items()}
+    for _ in range(rounds):
+        for side in range(3):
+            for value, goal in goals[side].items():
+                mine = [c for c in cells if c[side] == value]
+                total = sum(have[c] for c in mine)
+                if total <= 0:
+                    continue
+                if goal <= total:
+                    for c in mine:
+                        have[c] *= goal / total
+                else:
+                    open_ = [c for c in mine if have[c] < cells[c]]
+                    left = sum(have[c] for c in open_)
+                    for c in open_:
+                        have[c] = min(cells[c], have[c] * (goal - (total - left)) / left)
+    return have
+
+
+def test_raking_meets_targets(spark):
+    rng = random.Random(21)
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): rng.randrange(200, 3000) for a in range(6) for b in range(3) for c in range(2)}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    targets = {"source": {f"s{k}": k + 1.0 for k in range(6)}, "lang": {"l0": 2.0, "l1": 1.0, "l2": 1.0}}
+    got = mixing.rake(df, targets, keep_tokens=0.4, tolerance=1e-6).collect()
+    budget = 0.4 * sum(cells.values())
+    goals = [{}, {}, {}]
+    for r in got:
+        for k, side in enumerate(mixing.SIDES):
+            goals[k][r[side]] = r[f"goal_{side}"]
+        assert -1e-9 <= r["expected"] <= r["tokens"] * (1 + 1e-9)
+    assert all(abs(sum(g.values()) - budget) < 1e-6 * budget for g in goals)
+    for k, side in enumerate(mixing.SIDES):
+        for value, goal in goals[k].items():
+            assert abs(sum(r["expected"] for r in got if r[side] == value) - goal) < 1e-5 * budget
+    assert abs(goals[1]["l0"] / budget - 0.5) < 1e-9
+    assert any(r["expected"] > r["tokens"] * (1 - 1e-9) for r in got)  # a cap binds
+    want = capped_fit(cells, goals)
+    assert all(abs(r["expected"] - want[r["source"], r["lang"], r["topic"]]) < 1e-3 * budget for r in got)
+
+
+def test_side_targets(spark):
+    cells = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 50)], "source string, tokens long")
+    goals = lambda *x: {r["source"]: round(r["goal"], 6) for r in mixing.side_targets(cells, "source", *x).collect()}
+    assert goals({"a": 1.0, "b": 1.0}, 0.7, 600.0) == {"a": 100.0, "b": 500.0, "c": 0.0}
+    assert goals({"a": 1.0}, 0.7, 600.0) == {"a": 100.0, "b": 0.0, "c": 0.0}
+    assert goals(None, 1.0, 575.0) == {"a": 50.0, "b": 500.0, "c": 25.0}
+
+
+def test_mixing(spark, docs, rows, empty):
+    got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
-    cells = {(r["source"], r["lang"], r["topic"]): r for r in got}
-    assert abs(sum(r["weight"] for r in cells.values()) - 1) < 1e-9
-    tokens = sum(r["tokens"] for r in got)
-    assert abs(sum(r["tokens"] * r["p"] for r in got) / tokens - 0.5) < 1e-6
-    assert all(0 <= r["p"] <= 1 for r in got)
+    assert all(0 <= r["p"] <= 1 + 1e-12 for r in got)
+    assert [r["p"] for r in got if r["lang"] == ""] == [1.0]  # a cell without tokens
     assert mixing.mix(empty).count() == 0
+    made = [(k, f"{'software server' if k % 4 == 0 else 'Price, offer.' if k % 4 == 1 else ''} " + "w " * (k % 17), "en", f"s{k % 5}") for k in range(3000)]
+    out = mixing.mix(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"), {"source": {"s0": 3.0, "s1": 1.0}}, topics={"software": "software server", "trade": "price offer"}, keep_tokens=0.2).collect()
+    assert {r["topic"] for r in out if r["row"]["doc_id"] % 4 == 0} == {"software"} and {r["topic"] for r in out if r["row"]["doc_id"] % 4 == 1} == {"trade"}
+    tokens = lambda keep: sum(r["tokens"] * r["p"] for r in out if keep(r))
+    total = sum(r["tokens"] for r in out)
+    assert abs(tokens(lambda r: r["source"] == "s0") - 0.15 * total) < 1e-3 * total and abs(tokens(lambda r: r["source"] == "s1") - 0.05 * total) < 1e-3 * total
+    assert not any(r["taken"] for r in out if r["source"] not in ("s0", "s1"))
+    taken = sum(r["tokens"] for r in out if r["taken"])
+    assert abs(taken / total - 0.2) < 0.04
 
 
 def labels_of(spark, values):
@@ -246,6 +392,44 @@ def test_toxicity(spark, docs, rows, empty):
     assert toxicity.toxic_passages(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_keeps_mild_texts_and_finds_scattered_words(spark):
+    """Common words lean either way without making a text toxic; toxic families of words are known by their beginnings."""
+    rng = random.Random(13)
+    bad = lambda: "vilest" + rng.choice("abcdefghijklmnop") + rng.choice("abcdefgh")
+
+    def make(k):
+        words = prose(rng, 120).split()
+        if k % 8 == 0:
+            for at in rng.sample(range(len(words)), 4):
+                words[at] = bad()
+        elif k % 8 == 1:
+            words += ["mostly"] * 3  # in many toxic texts, and in more clean ones
+        return k, " ".join(words)
+
+    made = [make(k) for k in range(900)]
+    made = [(k, t + (" mostly" if k % 8 == 0 else "")) for k, t in made] + [(5000, ""), (5001, None), (5002, "word " * 60_000)]
+    t = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxic_passages(t, labels_of(spark, [(k, 1, int(k % 8 == 0)) for k in range(900)])).collect()}
+    held = [k for k in range(900) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum((got[k]["score"] >= 0.5) != (k % 8 == 0) for k in held) <= len(held) // 50
+    assert all(got[k]["score"] < 0.5 and not got[k]["passages"] for k in (5000, 5001, 5002))
+
+
+def test_nested_odds():
+    """A rare word has the odds of its beginning, a common one its own."""
+    found = ["hate", "hatef", "hateful", "hatefu", "=hateful", "=hates", "hates", "=the"]
+    t, c = np.array([100, 60, 3, 40, 3, 40, 40, 400.0]), np.array([2, 1, 0, 0, 0, 0, 0, 4000.0])
+    row, odds = toxicity.nested_odds(found, t, c)
+    share = t.sum() / (t.sum() + c.sum())
+    rate = share
+    for part in ("hate", "hatef", "hatefu", "hateful", "=hateful"):
+        k = row[part]
+        rate = (t[k] + 30 * rate) / (t[k] + c[k] + 30)
+        assert abs(odds[0, k] - (np.log(rate / (1 - rate)) - np.log(share / (1 - share)))) < 1e-9
+    assert odds[0, row["=hateful"]] > 2 > abs(odds[0, row["=the"]])
+    assert odds[1, row["=hateful"]] < odds[0, row["=hateful"]] < odds[2, row["hate"]] + 5
+
+
 def test_maximal_segments():
     """Against the definition: repeatedly the best contiguous run, then both sides of it."""
 
@@ -258,9 +442,10 @@ def test_maximal_segments():
 
     rng = random.Random(10)
     for _ in range(60):
-        s = [rng.choice([-0.5, -0.5, 1.37, 2.11]) for _ in range(14)]
-        got = toxicity.maximal_segments([(i, x) for i, x in enumerate(s) if x > 0], 0.5, len(s))
+        s = [rng.choice([-0.5, -0.53, -1.9, 1.37, 2.11]) for _ in range(14)]
+        got = toxicity.maximal_segments(np.array(s))
         assert [(a, b) for a, b, _ in got] == brute(s)
+        assert abs(max((x for *_, x in got), default=0) - toxicity.best_segment(np.array(s))) < 1e-9
 
 
 def test_quality_classifier(spark, docs, rows, empty):
