@@ -12,8 +12,12 @@ doc_id); site statistics cover all documents.
 
 Defined cases: null text counts as empty; null host or path values form a site of their own; ids with
 several label rows take the largest label, null labels are ignored; without labels of both kinds the
-model is the prior and every document is kept; repeated rows are scored each; empty tables give empty
-results; further columns pass through untouched, whatever their names.
+model is the prior and every document is kept; a score equal to the threshold keeps; repeated rows are scored each;
+very long texts are measured whole; empty tables give empty results; further columns pass through untouched, whatever
+their names.
+
+Texts are never shuffled: sites are counted from evidence alone and come back to the documents as a broadcast table of
+at most ``SITES`` rows, a checked size; beyond it by a join on the site.
 """
 
 from __future__ import annotations
@@ -22,22 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seqloom.llm.arrow import documents, map_batches, texts
-from seqloom.llm.quality_rules import SPACES, SYMBOLS, repeat_words
+from seqloom.llm.arrow import documents, map_batches, texts, tidy
+from seqloom.llm.quality_rules import SPACES, SYMBOLS, repeat_words, variety
 from seqloom.llm.toxicity import labelled
+from seqloom.runtime import cut, settle
 
 FEATURES = 12
-
-
-def variety(words: list[bytes], size: int = 100) -> float:
-    """The mean share of distinct words over windows of ``size`` words, end to end; the last one ends with the text.
-
-    Shorter texts are one window."""
-    n = len(words)
-    if n <= size:
-        return len(set(words)) / n
-    starts = [*range(0, n - size, size), n - size]
-    return sum(len(set(words[k : k + size])) for k in starts) / (size * len(starts))
+SITES = 200_000
 
 
 def features(text: bytes) -> list[float]:
@@ -83,17 +78,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return mean, scale, w
 
 
-def document_evidence(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[Column | None, tuple]:
+def document_model(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple:
+    """(mean, scale, weights) fitted on labelled documents; empty without labels of both kinds."""
     train = labelled(docs, labels, "quality", max_train, held_out=False)
 
     def make(batch: pa.RecordBatch) -> dict:
         return {"x": [features(t) for t in texts(batch)], "y": batch.column("label")}
 
-    rows = map_batches(train, make, "x array<double>, y int").collect()
+    rows = map_batches(train, make, "x array<double>, y int").collect()  # at most about max_train rows
     y = np.array([r["y"] for r in rows], dtype=float)
     if len(rows) == 0 or y.min() == y.max():
-        return None, ()
-    return None, fit_logistic(np.array([r["x"] for r in rows]), y)
+        return ()
+    return fit_logistic(np.array([r["x"] for r in rows]), y)
 
 
 def _logit(p: Column) -> Column:
@@ -101,7 +97,7 @@ def _logit(p: Column) -> Column:
 
 
 def _concentration(groups: DataFrame, rate: Column, n: Column, centre: Column) -> Column:
-    """Beta concentration from the spread of group rates around their centres, kept in 5..2000."""
+    """Beta concentration from the spread of group rates around their centres, kept in 5..2000 so that groups which agree, or are too few to tell, still count for something."""
     spread = F.sum(n * (rate - centre) * (rate - centre)) / F.sum(n)
     noise = F.sum(centre * (1 - centre)) / F.sum(n)
     between = F.greatest(spread - noise, F.lit(1e-4))
@@ -118,29 +114,28 @@ def classify(
     (row: struct of all input columns, q: struct).
     """
     spark = docs.sparkSession
-    _, model = document_evidence(docs, labels, max_train)
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def evidence(text):
-        import pandas as pd
+    settle(spark)
+    shared = spark.sparkContext.broadcast(document_model(docs, labels, max_train))
 
+    @F.arrow_udf("double")
+    def evidence(text: pa.Array) -> pa.Array:
         if not shared.value:
-            return pd.Series([0.9] * len(text))
+            return pa.array([0.9] * len(text), pa.float64())
         mean, scale, w = shared.value
-        x = np.array([features((t or "").encode("utf-8", "replace")) for t in text]).reshape(len(text), FEATURES)
-        return pd.Series(np.clip(1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -20, 20))), 1e-4, 1 - 1e-4))
+        x = np.array([features(t or b"") for t in text.to_pylist()]).reshape(len(text), FEATURES)
+        found = np.clip(1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -20, 20))), 1e-4, 1 - 1e-4)
+        tidy()
+        return pa.array(found)
 
     none = F.lit("")
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(host).cast("string"), none).alias("host"),
-        F.coalesce(F.col(path).cast("string"), none).alias("path"),
-        evidence(F.col("text").cast("string")).alias("p"),
-    )
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"))
-    sites = site_posteriors(paths)
-    joined = rows.join(sites, ["host", "path"], "left")
+    site = [F.coalesce(F.col(host).cast("string"), none).alias("host"), F.coalesce(F.col(path).cast("string"), none).alias("path")]
+    # "nondeterministic" only so that a filter on the verdict does not have the features computed a second time
+    p = evidence.asNondeterministic()(F.col("text").cast("string").cast("binary")).alias("p")
+    paths = cut(docs.select(*site, p).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    sites = cut(site_posteriors(paths))
+    small = sites.count() <= SITES
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *site, p)
+    joined = rows.join(F.broadcast(sites) if small else sites, ["host", "path"], "left")
     shift = F.least(F.lit(site_reach), F.greatest(F.lit(-site_reach), F.lit(site_weight) * (_logit(F.col("site")) - _logit(F.col("all_rate")))))
     odds = _logit(F.col("p")) + shift
     quality = 1 / (1 + F.exp(-odds))
