@@ -19,8 +19,9 @@ Blocks are bounded: an anchor with more than ``HOT`` distinct segments is not in
 counted by hash instead, one grouped sum for all, which is exact too and needs no group in one place.
 
 Defined cases: null or empty text has no bytes and keeps the empty string; texts shorter than LENGTH
-keep all; repeated rows (same doc_id and text) are other occurrences of their strings; empty tables
-give empty results; other columns are ignored. 64-bit hashes are paired (anchor and content, 128 bits).
+keep all; repeated rows (same doc_id and text) are other occurrences of their strings; very
+long texts are handled a part of ``PART`` bytes at a time, whole; empty tables give empty results; other columns are
+ignored. Hashes that stand for segments or rows have 128 bits.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqloom.llm.arrow import documents, map_batches, map_sorted_groups, mix64, texts
-from seqloom.runtime import Kept, cut, release
+from seqloom.runtime import Scratch, cut
 
 LENGTH, K = 200, 32
 SPAN = LENGTH - K + 1  # places of a K-byte string in a window
@@ -98,14 +99,14 @@ def parts_of(found: list[bytes]):
 
 
 def occurrences(rows: DataFrame, whole: bool) -> DataFrame:
-    """(rk, text) -> the segments of all texts: anchor ``h``, and with ``whole`` also the content hash
-    ``dg``, ``rk`` and ``at`` = place * 256 + windows."""
+    """(r1, r2, text) -> the segments of all texts: anchor ``h``, and with ``whole`` also the content hash
+    ``dg``, ``r1``, ``r2`` and ``at`` = place * 256 + windows."""
 
     def make(batch: pa.RecordBatch) -> dict | None:
         from xxhash import xxh64_intdigest
 
         found = texts(batch)
-        keys = batch.column("rk").to_numpy() if whole else None
+        keys = [batch.column(c).to_numpy() for c in ("r1", "r2")] if whole else None
         out: list[tuple] = []
         for part in parts_of(found):
             joined = b"".join(p for _, _, p in part)
@@ -119,14 +120,15 @@ def occurrences(rows: DataFrame, whole: bool) -> DataFrame:
             place = first - base[text] + np.array([a for _, a, _ in part])[text]
             stops = (first + count + (LENGTH - 1)).tolist()
             dg = np.fromiter((xxh64_intdigest(joined[a:b], 1) for a, b in zip(first.tolist(), stops)), np.uint64, len(first))
-            out.append((h, dg, keys[np.array([k for k, _, _ in part])][text], place * 256 + count))
+            row = np.array([k for k, _, _ in part])[text]
+            out.append((h, dg, keys[0][row], keys[1][row], place * 256 + count))
         if not out:
             return None
         columns = [np.concatenate(c) for c in zip(*out)]
-        names = ("h", "dg", "rk", "at")
+        names = ("h", "dg", "r1", "r2", "at")
         return {n: pa.array(c.view(np.int64)) for n, c in zip(names, columns)}
 
-    schema = "h bigint, dg bigint, rk bigint, at bigint" if whole else "h bigint"
+    schema = "h bigint, dg bigint, r1 bigint, r2 bigint, at bigint" if whole else "h bigint"
     return map_batches(rows if whole else rows.select("text"), make, schema)
 
 
@@ -236,8 +238,8 @@ def ranges(flags: np.ndarray) -> list[int]:
 
 
 def _segment_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, dg, c, rk, at, kinds) -> (h, dg, c, kinds, seg): the bytes of one copy of each segment."""
-    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("h", "dg", "c", "kinds", "at")).alias("segs"))  # bounded by a text's length
+    """(h, dg, c, r1, r2, at, kinds) -> (h, dg, c, kinds, seg): the bytes of one copy of each segment."""
+    lists = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("h", "dg", "c", "kinds", "at")).alias("segs"))  # bounded by a text's length
 
     def make(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"h": [], "dg": [], "c": [], "kinds": [], "seg": []}
@@ -251,7 +253,7 @@ def _segment_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 out["seg"].append(text[place : place + count + LENGTH - 1])
         return out
 
-    one = rows.join(lists, "rk").select("text", "segs", "rk")
+    one = rows.join(lists, ["r1", "r2"]).select("text", "segs")
     return map_batches(one, make, "h bigint, dg bigint, c bigint, kinds bigint, seg binary")
 
 
@@ -302,42 +304,32 @@ def _counted(wanted: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
-    """(rk, text) -> (rk, found): the byte ranges [from, to, ...] of a text's repeats."""
-    spark = rows.sparkSession
-    # what one side of a join counts is written first, so that the join's own shuffles can be split at hot anchors
-    twice = Kept(occurrences(rows, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    release(spark)
-    kept = Kept(occurrences(rows, True).join(twice.df, "h"))
-    twice.drop()
-    release(spark)
-    distinct = Kept(kept.df.groupBy("h", "dg").agg(F.count("*").alias("c"), F.first("rk").alias("rk"), F.first("at").alias("at")))
-    release(spark)
-    kinds = Kept(distinct.df.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
-    whole = distinct.df.where("c > 1").select("h", "dg", F.array(F.lit(0), F.pmod("at", F.lit(256)).cast("int")).alias("found"))
-    segs = Kept(_segment_texts(rows, distinct.df.join(kinds.df, "h")))  # before the next shuffle of the same bytes
-    kinds.drop()
-    release(spark)
-    marks = [Kept(_indexed(segs.df.where(F.col("kinds") <= HOT)))]
-    hot = segs.df.where(F.col("kinds") > HOT)
-    if not hot.isEmpty():
-        marks.append(Kept(_counted(hot.where("c = 1"), hot)))
-    segs.drop()
-    release(spark)
-    place = (F.col("at") / 256).cast("bigint")
-    spans = F.transform(F.col("found"), lambda x, i: F.when(i % 2 == 0, place + x).otherwise(place + x + F.lit(LENGTH - 1)))
-    marked = reduce(DataFrame.unionAll, (m.df for m in marks), whole)
-    found = cut(kept.df.join(marked, ["h", "dg"]).select("rk", spans.alias("found")).groupBy("rk").agg(F.flatten(F.collect_list("found")).alias("found")))
-    for done in (kept, distinct, *marks):
-        done.drop()
-    release(spark)
-    return found
+    """(r1, r2, text) -> (r1, r2, found): the byte ranges [from, to, ...] of a text's repeats."""
+    with Scratch() as keep:
+        # what one side of a join counts is written first, so that the join's own shuffles can be split at hot anchors
+        twice = keep(occurrences(rows, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        kept = keep(occurrences(rows, True).join(twice, "h"))
+        keep.drop(twice)
+        distinct = keep(kept.groupBy("h", "dg").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("r1", "r2", "at")]))
+        kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        whole = distinct.where("c > 1").select("h", "dg", F.array(F.lit(0), F.pmod("at", F.lit(256)).cast("int")).alias("found"))
+        segs = keep(_segment_texts(rows, distinct.join(kinds, "h")))  # before the next shuffle of the same bytes
+        marks = [keep(_indexed(segs.where(F.col("kinds") <= HOT)))]
+        hot = segs.where(F.col("kinds") > HOT)
+        if not hot.isEmpty():
+            marks.append(keep(_counted(hot.where("c = 1"), hot)))
+        keep.drop(segs)
+        place = (F.col("at") / 256).cast("bigint")
+        spans = F.transform(F.col("found"), lambda x, i: F.when(i % 2 == 0, place + x).otherwise(place + x + F.lit(LENGTH - 1)))
+        marked = reduce(DataFrame.unionAll, marks, whole)
+        return cut(kept.join(marked, ["h", "dg"]).select("r1", "r2", spans.alias("found")).groupBy("r1", "r2").agg(F.flatten(F.collect_list("found")).alias("found")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept: the remaining bytes, spans: removed runs)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("rk", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
-    found = repeated_ranges(rows.select("rk", "text"))
+    rows = rows.withColumns({"r1": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"), "r2": F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", "text")})
+    found = repeated_ranges(rows.select("r1", "r2", "text"))
 
     def make(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept", "spans")}
@@ -354,7 +346,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out[name].append(value)
         return {"doc_id": batch.column("doc_id")} | out
 
-    joined = rows.join(found, "rk", "left").select("doc_id", "text", "found")
+    joined = rows.join(found, ["r1", "r2"], "left").select("doc_id", "text", "found")
     return map_batches(joined, make, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<bigint>")
 
 
