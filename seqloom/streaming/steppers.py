@@ -275,6 +275,8 @@ class Voter(Stepper):
     or ``votes_jump`` fires in a row; after ``streak_least`` expected commits a jump that is not near (the same first number, up
     to ``near`` further) needs one more; at ``strong`` cost one fire is enough, two for such a jump. ``early``: the share of the
     expected unit that must end the window for it to fire before it is over, only while the chain goes on as expected.
+    At a cold start, both off by default: one fire at ``opening`` cost is enough for a unit that opens a first number, and
+    units inside a parent must be cheaper for ``ramp`` seconds, by a factor that rises from ``ramp_from`` to 1.
     ``refs``: unit -> tokens, ``successor``: unit -> the next one, ``twins``: unit -> its look-alikes.
     """
 
@@ -291,6 +293,9 @@ class Voter(Stepper):
     streak_least: int = 3
     near: int = 2
     early: float | None = None
+    opening: float = 0.0
+    ramp: float = 0.0
+    ramp_from: float = 0.5
     schema = "key string, w1 double, cost double"
 
     def start(self):
@@ -308,6 +313,13 @@ class Voter(Stepper):
         cost = prefix_norm(ref, row["win"], least) if len(ref) >= least else float("inf")
         return (unit, cost) if cost <= self.most_cost else None
 
+    def factor(self, state: dict, key: str, w1: float) -> float:
+        """What the allowed cost is multiplied by."""
+        inside = "#" in key and int(key.split("#")[1]) >= 2
+        if not self.ramp or state["last"] is not None or not inside:
+            return 1.0
+        return min(1.0, self.ramp_from + (1 - self.ramp_from) * w1 / self.ramp)
+
     def is_near(self, unit: str, last: str | None) -> bool:
         if last is None:
             return True
@@ -321,7 +333,7 @@ class Voter(Stepper):
             if found is None:
                 return []
             key, cost = found
-        elif cost > self.most_cost:
+        elif cost > self.most_cost * self.factor(state, key, w1):
             return []
         early = state["taken"] is not None and w1 < state["taken"] + self.advance
         if early or key == state["last"] or (key in state["said"] and w1 - state["said"][key] < self.repeat):
@@ -334,6 +346,9 @@ class Voter(Stepper):
         need = self.votes_next if goes_on else self.votes_jump + costly
         if cost <= self.strong:
             need = min(need, 1 + costly)
+        opens = key.split("#")[1:] in ([], ["1"], ["01"]) and parent_of(key)[1] == 1 if self.opening else False
+        if opens and state["last"] is None and cost <= self.opening:
+            need = 1
         state["votes"] = state["votes"] + 1 if key == state["rival"] else 1
         state["rival"] = key
         if state["votes"] < need:
@@ -434,3 +449,77 @@ class GatedReset(Stepper):
             state["said"] = row["t"]
             return []
         return [(row["t"],)] if "said" in state and row["t"] - state["said"] <= self.within else []
+
+
+@dataclass
+class Progress(Stepper):
+    """Confirmed units become events of their parents, with what comes next. Rows: parent, place (null: the whole parent).
+
+    A new parent is detected, advanced to (the next second number) or jumped to; a later place of the same one is progress.
+    With a parent's last place the next parent of its first number is announced, once. ``places``: parent -> how many it has.
+    """
+
+    places: dict
+    schema = "event string, parent string, place int, of int, up_next string"
+
+    def step(self, state, row):
+        parent, of = row["parent"], max(1, self.places.get(row["parent"], 1))
+        place = max(1, row["place"] or 1)
+        first, second = parent_of(parent)
+        before = state.get("parent")
+        if parent != before:
+            event = "detect" if before is None else "advance" if (first, second - 1) == parent_of(before) else "jump"
+            state["parent"], state["told"] = parent, False
+        else:
+            event = "progress"
+        following = f"{first}:{second + 1}"
+        tells = place >= of and not state["told"] and following in self.places
+        state["told"] = state["told"] or tells
+        return [(event, parent, place, of, following if tells else None)]
+
+
+@dataclass
+class Provisional(Stepper):
+    """Before anything is confirmed, a unit that waits is shown once its first number stands behind enough of the last emissions. Rows: key, confirmed, waits."""
+
+    votes: int = 2
+    memory: int = 6
+    schema = "key string"
+
+    def step(self, state, row):
+        first = parent_of(row["key"])[0]
+        state["recent"] = [*state.get("recent", []), first][-self.memory :]
+        state["sure"] = state.get("sure", False) or row["confirmed"]
+        shown = row["waits"] and not state["sure"] and state["recent"].count(first) >= self.votes
+        return [(row["key"],)] if shown else []
+
+
+@dataclass
+class LiveWindows(Stepper):
+    """At every hop the tokens of the last ``widths`` seconds, from a state that holds the largest width and ``slack`` seconds more. Rows: t, token."""
+
+    widths: tuple
+    hop: float
+    slack: float = 2.0
+    least: int = 4
+    schema = "w1 double, width double, win array<string>"
+
+    def start(self):
+        return {"held": [], "next": self.hop}
+
+    def step(self, state, row):
+        out = []
+        while row["t"] >= state["next"]:
+            out += self.windows(state, state["next"])
+            state["next"] += self.hop
+        state["held"].append([row["t"], row["token"]])
+        oldest = row["t"] - max(self.widths) - self.slack
+        state["held"] = [x for x in state["held"] if x[0] >= oldest]
+        return out
+
+    def windows(self, state: dict, now: float) -> list[tuple]:
+        found = [(now, w, [x for t, x in state["held"] if now - w <= t < now]) for w in self.widths]
+        return [x for x in found if len(x[2]) >= self.least]
+
+    def finish(self, state):
+        return self.windows(state, state["next"])

@@ -8,7 +8,7 @@ import pytest
 
 from seqloom.api import Config, Detector
 from seqloom.functions import alignment, distances
-from seqloom.streaming.steppers import GatedReset, PrefixDetector, SpeechGate, Voter
+from seqloom.streaming.steppers import GatedReset, LiveWindows, PrefixDetector, Progress, Provisional, SpeechGate, Voter
 
 
 def play(stepper, rows):
@@ -65,6 +65,41 @@ def test_voter():
     assert said(begun[:1] + begun[2:], early=0.5) == ["1:1"]
 
 
+def test_cold_start():
+    refs = {k: list(k * 3) for k in ("1:1", "1:2#1", "1:2#2", "2:1#01")}
+    said = lambda rows, **more: [k for k, *_ in play(Voter(refs, {}, {}, **more), rows)]
+    assert said([fire(1, "1:1", 0.24)]) == [] and said([fire(1, "1:1", 0.24)], opening=0.25) == ["1:1"]
+    assert said([fire(1, "2:1#01", 0.24)], opening=0.25) == ["2:1#01"] and said([fire(1, "1:2#1", 0.24)], opening=0.25) == []
+    assert said([fire(1, "1:2#2", 0.2), fire(2, "1:2#2", 0.2)]) == ["1:2#2"]
+    assert said([fire(1, "1:2#2", 0.2), fire(2, "1:2#2", 0.2)], ramp=12.0) == []
+    assert said([fire(11, "1:2#2", 0.2), fire(12, "1:2#2", 0.2)], ramp=12.0) == ["1:2#2"]
+
+
+def test_progress_and_provisional():
+    rows = [{"parent": p, "place": k} for p, k in (("1:1", None), ("1:2", 1), ("1:2", 2), ("2:5", 1), ("1:3", None))]
+    got = play(Progress({"1:1": 1, "1:2": 2, "1:3": 1, "2:5": 3}), rows)
+    assert got == [("detect", "1:1", 1, 1, "1:2"), ("advance", "1:2", 1, 2, None), ("progress", "1:2", 2, 2, "1:3"), ("jump", "2:5", 1, 3, None), ("jump", "1:3", 1, 1, None)]
+    rows = [{"key": k, "confirmed": c, "waits": w} for k, c, w in (("1:1", False, True), ("3:1", False, True), ("1:2", False, True), ("1:3", True, False), ("1:4", False, True))]
+    assert play(Provisional(), rows) == [("1:2",)]
+
+
+def test_live_windows():
+    rng = random.Random(5)
+    rows = [{"t": t, "token": rng.choice("abc")} for t in sorted(rng.uniform(0, 40) for _ in range(150))]
+    stepper = LiveWindows((4.0, 10.0), 1.5)
+    state, got = stepper.start(), []
+    for row in rows:
+        got += stepper.step(state, row)
+        assert all(t >= row["t"] - 12.0 for t, _ in state["held"])
+    got += stepper.finish(state)
+    want = []
+    for k in range(1, int(rows[-1]["t"] // 1.5) + 2):
+        for w in (4.0, 10.0):
+            inside = [r["token"] for r in rows if 1.5 * k - w <= r["t"] < 1.5 * k]
+            want += [(1.5 * k, w, inside)] * (len(inside) >= 4)
+    assert got == want
+
+
 def test_prefix_detector():
     refs = {"1:1": list("abcdefgh"), "1:2": list("ijklmnop"), "1:3": list("qrstuvwx")}
     rows = [{"win": list(w)} for w in ("ab", "abc", "abcd", "abcdefgh", "ij", "ijk", "ijkl", "ab", "ab", "ab", "ab", "qr", "qrs", "qrst")]
