@@ -65,6 +65,37 @@ def test_voter():
     assert said(begun[:1] + begun[2:], early=0.5) == ["1:1"]
 
 
+def test_trie_matcher():
+    """Against the cost of one reference at a time, and a beam that keeps the cheapest."""
+    from seqloom.functions.trie import Trie, TrieMatcher
+
+    rng = random.Random(6)
+    units = {f"1:{k}": rng.choices("abcd", k=rng.randrange(3, 9)) for k in range(30)}
+    trie = Trie(units)
+    for _ in range(20):
+        given = rng.choices("abcde", k=rng.randrange(1, 8))
+        m = TrieMatcher(trie, beam=10**6, restart=False)
+        for token in given:
+            m.step(token)
+        for key, ref in units.items():
+            cost = distances.stream_cost(ref, given)
+            assert [m.cost[n] for n in trie.paths[key]] == cost[1:]
+            partial = distances.partial_score(cost)
+            if np.isfinite(partial[0]):
+                assert abs(m.progress(key)[0] - partial[0]) < 1e-9
+        ends = {k: m.cost[p[-1]] / len(p) for k, p in trie.paths.items() if np.isfinite(m.cost[p[-1]])}
+        assert [round(c, 9) for _, c in m.candidates(3)] == [round(c, 9) for c in sorted(ends.values())[:3]]
+    m = TrieMatcher(trie, beam=25)
+    for token in units["1:7"]:
+        m.step(token)
+        assert np.isfinite(m.cost).sum() <= 25
+    assert m.candidates(1)[0][1] == 0 and m.complete(m.margin()[0]) and m.partial_candidates(3)[0][1] == 0
+    again = TrieMatcher(trie, beam=10**6)
+    for token in list("dddd") + units["1:7"]:
+        again.step(token)
+    assert dict(again.candidates(30))["1:7"] == 0  # a unit may start at any token
+
+
 def test_cold_start():
     refs = {k: list(k * 3) for k in ("1:1", "1:2#1", "1:2#2", "2:1#01")}
     said = lambda rows, **more: [k for k, *_ in play(Voter(refs, {}, {}, **more), rows)]
