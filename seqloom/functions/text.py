@@ -82,3 +82,10 @@ def encode_first_seen(tokens: Column, first: int) -> Column:
 def simulated_error(token: Column, draw: Column, deleted: str = "1", substituted: str = "3", doubled: str = "5") -> Column:
     """A token with errors by a hex draw: below ``deleted`` it goes, below ``substituted`` it is x, below ``doubled`` y follows it."""
     return F.when(draw < deleted, "").when(draw < substituted, "x").when(draw < doubled, F.concat(token, F.lit("y"))).otherwise(token)
+
+
+def escaped(text: Column) -> Column:
+    """Text with the characters that HTML reads as its own replaced; the ampersand first."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text

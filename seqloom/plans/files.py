@@ -124,3 +124,20 @@ def stream_sink(spark, d):
         files.stream_into(stream.select("event_type", "value"), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}"), f"{path}/state")
         rows = spark.read.schema("event_type string, value double").parquet(f"{path}/out")
         return cut(rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")))
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 3")
+def sqlite_scan(spark, d):
+    """A query inside an SQLite file."""
+    import sqlite3
+
+    with sqlite3.connect(":memory:") as base:
+        for name, columns in (("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("region", ["r_regionkey", "r_name"])):
+            base.execute(f"CREATE TABLE {name} ({', '.join(columns)})")
+            rows = [tuple(r) for r in table(spark, d, name).select(*columns).collect()]  # dimensions of 25 and 5 rows
+            base.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(columns))})", rows)
+        base.commit()
+        content = base.serialize()
+    with files.folder(spark) as path:
+        files.put(spark, f"{path}/base.sqlite", content)
+        return cut(files.sqlite(spark, f"{path}/base.sqlite", "SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 3", "n_name string, r_name string"))

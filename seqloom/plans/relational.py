@@ -318,6 +318,27 @@ def energy_segments(spark, d):
     return windows.energy_segments(numbered(spark, d), "user_id", "i", F.col("value") >= 20, gap=2, least=2, pad=1)
 
 
+@query(f"""
+WITH f AS (SELECT user_id, i FROM ({STREAM}) WHERE value >= 20), g AS (SELECT *, sum(CASE WHEN i - p <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS seg FROM (SELECT *, lag(i) OVER (PARTITION BY user_id ORDER BY i) AS p FROM f)),
+s AS (SELECT user_id, max(i) - min(i) + 1 AS size FROM g GROUP BY user_id, seg HAVING max(i) - min(i) + 1 >= 2)
+SELECT s.user_id, CAST(sum(size) AS BIGINT) AS frames, round(sum(size)::DOUBLE / max(n), 6) AS fraction FROM s JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) t ON t.user_id = s.user_id GROUP BY s.user_id
+""")
+def speech_share(spark, d):
+    """Frames and share of a stream that hold speech, by energy."""
+    t = numbered(spark, d)
+    n = t.groupBy("user_id").agg(F.count("*").alias("n"))
+    found = windows.energy_segments(t, "user_id", "i", F.col("value") >= 20, gap=2, least=2, pad=0).withColumn("size", F.col("last") - F.col("first") + 1)
+    sums = found.groupBy("user_id").agg(F.sum("size").cast("bigint").alias("frames")).join(n, "user_id")
+    return sums.select("user_id", "frames", F.round(F.col("frames") / F.col("n"), 6).alias("fraction"))
+
+
+@query("SELECT page_id, length(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS size, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS digest FROM pages")
+def escaped_pages(spark, d):
+    """X11: text made safe for HTML."""
+    safe = txt.escaped(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.length(safe).cast("bigint").alias("size"), F.md5(safe).alias("digest"))
+
+
 @query(f"SELECT user_id, string_agg(tok, '' ORDER BY first) AS seen FROM (SELECT user_id, tok, min(i) AS first FROM ({STREAM}) GROUP BY user_id, tok) GROUP BY user_id")
 def first_occurrences(spark, d):
     """Distinct tokens in order of their first occurrence."""

@@ -70,6 +70,39 @@ def shards(spark: SparkSession, root: str, names: list[str], columns: list[str])
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(*there).select(*columns)
 
 
+def sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """What ``sql`` says of every SQLite file at ``path``, opened from its bytes where they were read."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import sqlite3
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                with sqlite3.connect(":memory:") as base:
+                    base.deserialize(content)
+                    rows = base.execute(sql).fetchall()
+                columns = list(zip(*rows)) or [()] * len(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file from the driver."""
+    system, where = _files(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 # ---- sinks --------------------------------------------------------------------------------------
 
 
