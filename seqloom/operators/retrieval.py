@@ -41,6 +41,11 @@ def expanded_counts(windows: DataFrame, window: str, tokens: str, seconds: str,
     return hits.groupBy("window", "unit").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over four partitions a core: few bytes that make many pairs, which Spark would otherwise put into one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 #: Lexicons up to so many rows go to every task.
 LEXICON_ROWS = 200_000
 
@@ -57,7 +62,7 @@ def length_banded(windows: DataFrame, units: DataFrame, window: str, ref: str, b
     u = units.withColumn("len", F.length(ref))
     count = units.count()
     if count <= LEXICON_ROWS:
-        return w.join(F.broadcast(u), "len")
+        return spread(w).join(F.broadcast(u), "len")
     chunks = -(-count // LEXICON_ROWS)
     w = w.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     return w.join(u.withColumn("chunk", F.pmod(F.xxhash64(ref), F.lit(chunks)).cast("int")), ["len", "chunk"]).drop("chunk")
@@ -114,7 +119,7 @@ def better_label(costs: DataFrame, key: str, label: str, least_gain: float = 0.1
     return best.select(key, label, F.when(good, F.col("other.candidate")).alias("suggestion"))
 
 
-def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit: int = 2048) -> DataFrame:
+def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit: int = 128) -> DataFrame:
     """(a, b, dist), a < b: units whose distance is at most floor(tau * max length).
 
     A pair's lengths differ by no more than its distance allows, so units are dealt into length buckets of
@@ -128,7 +133,7 @@ def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit:
     left = u.withColumn("meets", F.explode(F.array("bucket", F.col("bucket") + 1))).join(F.broadcast(sizes.withColumnRenamed("bucket", "meets")), "meets")
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = u.join(F.broadcast(sizes), "bucket").select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), F.col("bucket").alias("meets"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    pairs = left.join(right, ["meets", "chunk"]).where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
+    pairs = spread(left, "meets", "chunk", "id").join(right, ["meets", "chunk"]).where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
     cutoff = F.floor(F.lit(tau) * F.col("len2")).cast("int")
     near = pairs.withColumn("cutoff", cutoff).where(F.col("len2") - F.col("len") <= F.col("cutoff"))
     near = near.withColumn("dist", distances.levenshtein_letters(F.col("code"), F.col("code2"))).where("dist <= cutoff")
