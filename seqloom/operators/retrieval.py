@@ -46,6 +46,12 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
+def over_all_cores(scan: DataFrame) -> DataFrame:
+    """A scan that has fewer splits than there are cores, dealt to all of them; a large one stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 #: Lexicons up to so many rows go to every task.
 LEXICON_ROWS = 200_000
 
@@ -133,6 +139,8 @@ def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit:
     left = u.withColumn("meets", F.explode(F.array("bucket", F.col("bucket") + 1))).join(F.broadcast(sizes.withColumnRenamed("bucket", "meets")), "meets")
     left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = u.join(F.broadcast(sizes), "bucket").select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), F.col("bucket").alias("meets"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    if units.count() <= LEXICON_ROWS:  # checked size; beyond it both sides are dealt by bucket and chunk
+        right = F.broadcast(right)
     pairs = spread(left, "meets", "chunk", "id").join(right, ["meets", "chunk"]).where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
     cutoff = F.floor(F.lit(tau) * F.col("len2")).cast("int")
     near = pairs.withColumn("cutoff", cutoff).where(F.col("len2") - F.col("len") <= F.col("cutoff"))

@@ -482,7 +482,7 @@ _COUNTS = f"SELECT doc_id AS \"window\", unit, count(*) AS cnt, min(pos) AS firs
 
 
 def _tokens(spark, d, name, key):
-    return table(spark, d, name).select(key, F.split(txt.fold_words(F.col("text")), " ").alias("w"))
+    return retrieval.over_all_cores(table(spark, d, name).select(key, "text")).select(key, F.split(txt.fold_words(F.col("text")), " ").alias("w"))
 
 
 def _counts(spark, d):
