@@ -90,7 +90,7 @@ def valid_file(size: Column, magic: Column, known: list[str], duration: Column,
 
 
 def covering(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """(key, at, n): how many spans of a key cover each of its points, ends included.
+    """(key, at, n): how many spans of a key cover each row of ``points``, ends included; points that repeat give a row each.
 
     Starts add one and ends take one away in a single sorted pass, so no pair of a point and a span is made."""
     opened = spans.select(key, F.col(start).alias(at), F.lit(0).alias("_kind"), F.lit(1).alias("_step"))
@@ -100,11 +100,17 @@ def covering(points: DataFrame, spans: DataFrame, key: str, at: str, start: str,
     return opened.unionByName(closed).unionByName(asked).withColumn("n", F.sum("_step").over(w)).where("_kind = 1").select(key, at, "n")
 
 
-def running_total(rows: DataFrame, key: str, value: str) -> DataFrame:
+def running_total(rows: DataFrame, key: str, value: str, keys: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``total``: the sum of ``value`` over all rows up to this one in the order of the unique ``key``.
 
-    Ranges of the key are summed apart; only their sums, one row a partition, are added up in one place."""
-    ranged = rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    Ranges of the key are summed apart; only their sums, one row a range, are added up in one place. A row's range follows from
+    its key and fixed bounds alone: a partition's number is not the same in two branches of a plan once partitions are coalesced. ``keys`` may hold the keys where ``rows`` cost more to compute."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = (rows if keys is None else keys).select(F.percentile_approx(key, [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []
+    part = F.lit(0)
+    for bound in sorted(set(bounds)):
+        part = part + F.coalesce((F.col(key) > F.lit(bound)).cast("int"), F.lit(0))
+    ranged = rows.withColumn("_part", part)
     parts = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = parts.withColumn("_before", F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(key))
