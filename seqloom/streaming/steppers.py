@@ -234,7 +234,9 @@ class Batches(Stepper):
 
 @dataclass
 class SpeechGate(Stepper):
-    """Opens at ``threshold``; closes once probabilities have been under threshold - ``slack`` for ``least`` rows without reaching the threshold. Rows: p."""
+    """Opens at ``threshold``; closes once probabilities have been under threshold - ``slack`` for ``least`` rows without reaching the threshold.
+
+    The lower bound is the decimal difference: 0.2 - 0.15 is 0.05, not the binary number above it. Rows: p."""
 
     threshold: float = 0.5
     slack: float = 0.15
@@ -249,7 +251,7 @@ class SpeechGate(Stepper):
         if p >= self.threshold:
             opened, state["open"], state["quiet"] = not state["open"], True, 0
             return [("start",)] if opened else []
-        if not state["open"] or p >= self.threshold - self.slack:
+        if not state["open"] or p >= round(self.threshold - self.slack, 12):
             return []
         if not state["quiet"]:
             state["quiet"] = state["at"]
