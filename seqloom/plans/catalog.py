@@ -467,7 +467,7 @@ def session_top_unit(spark, d):
 @query(f"SELECT user_id, unit, cost, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cost, unit) AS r FROM (SELECT user_id, unit, round(levenshtein(win, ref)::DOUBLE / greatest(length(win), length(ref)), 9) AS cost FROM ({_PAIRED}))) WHERE r <= 5")
 def edit_norm_topk(spark, d):
     """The five best units."""
-    c = _paired(spark, d).withColumn("cost", F.round(distances.edit_norm_col(F.col("win"), F.col("ref")), 9))
+    c = _best(spark, d, 5)
     return c.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("cost", "unit"))).where("r <= 5").select("user_id", "unit", "cost", "r")
 
 
