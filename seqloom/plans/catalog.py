@@ -474,7 +474,7 @@ def edit_norm_topk(spark, d):
 @query(f"SELECT user_id, unit, min(levenshtein(ref, substr(win, i, j - i))) / length(ref)::DOUBLE AS cost FROM (SELECT user_id, unit, win, ref, unnest(generate_series(1, length(win) + 1)) AS i FROM ({_PAIRED})) p, generate_series(1, 13) g(j) WHERE j >= i AND j <= length(win) + 1 GROUP BY user_id, unit, ref")
 def infix_cost(spark, d):
     """A reference as a stretch of the window; the oracle tries every stretch."""
-    return _paired(spark, d).select("user_id", "unit", distances.infix_norm_letters(F.col("ref"), F.col("win")).alias("cost"))
+    return _costs(spark, d, bits.infix_distances, lambda code, size, n: code / size)
 
 
 @query(f"SELECT user_id, unit, min(levenshtein(win, substr(ref, 1, k)))::DOUBLE / length(win) AS cost FROM ({_PAIRED}) p, generate_series(1, 8) g(k) WHERE k <= length(ref) GROUP BY user_id, unit, win")
