@@ -489,7 +489,7 @@ SELECT user_id, unit, min(levenshtein(substr(ref, 1, i), substr(win, s, e - s +
 """)
 def prefix_cost(spark, d):
     """The beginning of a reference against the window's end."""
-    return _paired(spark, d).select("user_id", "unit", distances.prefix_norm_letters(F.col("ref"), F.col("win"), 4).alias("cost"))
+    return _costs(spark, d, partial(bits.prefix_distances, least=4), lambda code, size, n: F.shiftright(code, 7) / code.bitwiseAND(F.lit(127).cast("smallint")), 4)
 
 
 _GRAMS = "SELECT {k}, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram, unnest(generate_series(0, len(w) - 3)) AS pos FROM (SELECT {k}, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM {t}) WHERE len(w) >= 3"
