@@ -127,3 +127,84 @@ def prefix_distances(units: Units, windows: list[str], least: int, slack: int =
         seen = lambda _, state: best_of(lambda i: units.at(state, i))
     for k, _, marks in columns(units, windows, True, seen):
         yield k, code[np.minimum.reduce(marks[-1 - slack :])]
+
+
+class Codes:
+    """Codes of any lengths, the shorter ones first, against one shorter code at a time.
+
+    Only cells that an alignment within the cutoff can reach are computed: a band of diagonals, kept in one word that moves
+    down a row a column. Where a band is wider than a word the plain tables are used."""
+
+    def __init__(self, codes: list[str]):
+        self.codes, self.sizes = codes, np.array([len(c) for c in codes], dtype=np.int64)
+        longest = int(self.sizes[-1])
+        words, held = longest // MOST + 2, letters_of(codes, longest)
+        self.equal = {}
+        for c in np.unique(held):
+            found = np.zeros((len(codes), words * MOST), dtype=bool)
+            found[:, :longest] = held == c
+            self.equal[int(c)] = np.ascontiguousarray(np.packbits(found, axis=1, bitorder="little").view(np.uint64).T)
+        self.nowhere = np.zeros((words, len(codes)), np.uint64)
+
+    def near(self, text: str, first: int, tau: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places from ``first`` on, distances) of the codes, none shorter than ``text``, within floor(tau * their length)."""
+        places, found = [], []
+        pending = [(first, len(self.codes))]
+        while pending:
+            lo, hi = pending.pop()
+            sizes = self.sizes[lo:hi]
+            most, longer = np.floor(tau * sizes).astype(np.int64), sizes - len(text)
+            fit = np.flatnonzero(longer <= most)
+            if not len(fit):
+                continue
+            lo, hi, most, longer, sizes = lo + int(fit[0]), lo + int(fit[-1]) + 1, *(x[fit[0] : fit[-1] + 1] for x in (most, longer, sizes))
+            spare = np.maximum(most - longer, 0) // 2
+            below = int(spare.max())
+            if int((longer + spare).max()) + below >= MOST or int(longer.max()) + below + len(text).bit_length() > MOST:
+                if sizes[0] < sizes[-1]:
+                    middle = lo + int(np.searchsorted(sizes, sizes[len(sizes) // 2], "left") or np.searchsorted(sizes, sizes[0], "right"))
+                    pending += [(lo, middle), (middle, hi)]
+                    continue
+                from seqloom.functions.distances import batched_levenshtein
+
+                dist = np.concatenate([batched_levenshtein([text] * len(some), some) for k in range(lo, hi, 1024) if (some := self.codes[k : min(k + 1024, hi)])])
+            else:
+                dist = self._band(text, lo, hi, below, longer)
+            hits = np.flatnonzero(dist <= most)
+            places.append(hits + lo)
+            found.append(dist[hits])
+        return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _band(self, text: str, lo: int, hi: int, below: int, longer: np.ndarray) -> np.ndarray:
+        """Distances (too large where over the cutoff): bit b of column j is row j - below + b; a distance counts the rises along the diagonal that ends in the last cell."""
+        n, place = hi - lo, (longer + below).astype(np.uint64)
+        last = np.uint64(1) << place
+        up = np.full(n, (2**MOST - 1) << below & (2**MOST - 1), np.uint64)
+        down, flat, eq, d0, hp, hn = (np.zeros(n, np.uint64) for _ in range(6))
+        for j, token in enumerate(text):
+            words, at = self.equal.get(ord(token), self.nowhere), j - below
+            if at <= 0:
+                np.left_shift(words[0, lo:hi], np.uint64(-at), out=eq)
+            else:
+                word, bit = divmod(at, MOST)
+                np.right_shift(words[word, lo:hi], np.uint64(bit), out=eq)
+                if bit:
+                    np.left_shift(words[word + 1, lo:hi], np.uint64(MOST - bit), out=hp)
+                    np.bitwise_or(eq, hp, out=eq)
+            np.bitwise_and(eq, up, out=d0)
+            np.add(d0, up, out=d0)
+            np.bitwise_xor(d0, up, out=d0)
+            np.bitwise_or(d0, eq, out=d0)
+            np.bitwise_or(d0, down, out=d0)
+            np.bitwise_or(d0, up, out=hp)
+            np.invert(hp, out=hp)
+            np.bitwise_or(hp, down, out=hp)
+            np.bitwise_and(d0, up, out=hn)
+            np.bitwise_and(d0, last, out=eq)
+            np.add(flat, eq, out=flat)
+            np.right_shift(d0, np.uint64(1), out=d0)
+            np.bitwise_and(d0, hp, out=down)
+            np.bitwise_or(d0, hp, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, hn, out=up)
+        return self.sizes[lo:hi] - (flat >> place).astype(np.int64)

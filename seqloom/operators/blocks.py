@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.functions import bits
-from seqloom.runtime import settle
+from seqloom.runtime import cut, settle
 
 #: Units and windows of a block; units of a block of grams.
 UNITS, WINDOWS, INDEXED = 16_384, 512, 1 << 17
@@ -135,3 +135,100 @@ def every_unit(windows: DataFrame, key: str, window: str, units: DataFrame, unit
     found = found.join(F.broadcast(named) if few else named, F.col("block").eqNullSafe(F.col("named")))
     rows = found.select(key, "n", "size", "units", F.posexplode("codes").alias("at", "code"))
     return rows.select(key, F.col("units")[F.col("at")].alias(unit), cost(F.col("code"), F.col("size"), F.col("n")).alias("cost"))
+
+
+#: Codes of a block: so few that their tables stay in a core's cache.
+CODES = 4096
+
+
+def _code_pairs(units: DataFrame, unit: str, code: str, carried: list[str]) -> DataFrame:
+    """Each pair of blocks once, as (same, x_..., y_...) of unit, code and the ``carried`` columns, no code of y shorter than one of x."""
+    held = units.select(F.col(unit).alias("id"), F.col(code).alias("code"), *carried).where("id is not null and length(code) > 0").withColumn("len", F.length("code"))
+    count = held.count()
+    most = min(CODES, max(64, ceil(count / 24)))
+    ordered = held.repartitionByRange(max(1, ceil(count / most)), "len", "id").sortWithinPartitions("len", "id")
+    # blocks must be the same wherever they are read, and ranges are sampled
+    blocks = cut(packed(ordered.drop("len"), CODES).withColumn("first", F.struct(F.length(F.col("code")[0]).alias("len"), F.col("id")[0].alias("id"))))
+    side = lambda s: blocks.select(*[F.col(c).alias(f"{s}_{c}") for c in blocks.columns])
+    x, y = side("x"), side("y")
+    firsts = x.select("x_first").crossJoin(y.select("y_first")).where("x_first <= y_first")
+    number = blocks.count()
+    few = count <= LEXICON_ROWS  # checked size; beyond it blocks are joined by key
+    pairs = firsts.repartition(max(1, min(number * (number + 1) // 2, 64 * _cores(units))))
+    pairs = pairs.join(F.broadcast(x) if few else x, "x_first").join(F.broadcast(y) if few else y, "y_first")
+    return pairs.withColumn("same", F.col("x_first") == F.col("y_first")).drop("x_first", "y_first")
+
+
+def _near(row: dict, tau: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place in x, places in y, distances) of a pair of blocks."""
+    held = bits.Codes(row["y_code"])
+    for k, text in enumerate(row["x_code"]):
+        places, dist = held.near(text, k + 1 if row["same"] else 0, tau)
+        if len(places):
+            yield k, places, dist
+
+
+def look_alikes(units: DataFrame, unit: str, code: str, tau: float) -> DataFrame:
+    """(a, b, dist), a < b: all pairs of units whose distance is at most floor(tau * the longer one's length)."""
+    kind = dict(units.dtypes)[unit]
+
+    def make(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            ids, out, rows = np.array(row["y_id"]), {"a": [], "b": [], "dist": []}, 0
+            for k, places, dist in _near(row, tau):
+                out["a"].append(np.repeat(np.array(row["x_id"][k : k + 1]), len(places)))
+                out["b"].append(ids[places])
+                out["dist"].append(dist)
+                rows += len(places)
+                if rows > 100_000:
+                    yield {c: np.concatenate(v) for c, v in out.items()}
+                    out, rows = {"a": [], "b": [], "dist": []}, 0
+            if rows:
+                yield {c: np.concatenate(v) for c, v in out.items()}
+
+    found = arrow(_code_pairs(units, unit, code, []), make, f"a {kind}, b {kind}, dist int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
+
+
+def look_alike_links(units: DataFrame, unit: str, code: str, tau: float) -> DataFrame:
+    """(a, b): links that span the components of ``look_alikes``; a pair of blocks gives fewer links than it has codes."""
+    kind = dict(units.dtypes)[unit]
+
+    def make(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            ids = row["x_id"] + ([] if row["same"] else row["y_id"])
+            label, shift = np.arange(len(ids)), 0 if row["same"] else len(row["x_id"])
+            for k, places, _ in _near(row, tau):
+                met = np.unique(label[np.append(places + shift, k)])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            yield {"a": [ids[k] for k in label[moved]], "b": [ids[k] for k in moved]}
+
+    return arrow(_code_pairs(units, unit, code, []), make, f"a {kind}, b {kind}")
+
+
+def look_alike_neighbours(units: DataFrame, unit: str, code: str, tau: float, before: str, after: str) -> DataFrame:
+    """(unit, same_before, same_after) of units with look-alikes: whether one of these has the same, known, neighbour on a side."""
+    kind = dict(units.dtypes)[unit]
+
+    def make(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            sides = []
+            for side in (before, after):
+                book: dict = {}
+                sides.append([np.array([-1 if v is None else book.setdefault(v, len(book)) for v in row[f"{s}_{side}"]]) for s in "xy"])
+            seen = [np.zeros((3, len(row[f"{s}_id"])), dtype=bool) for s in "xy"]
+            for k, places, _ in _near(row, tau):
+                seen[0][0, k] = True
+                seen[1][0, places] = True
+                for n, (mine, theirs) in enumerate(sides, 1):
+                    equal = places[theirs[places] == mine[k]] if mine[k] >= 0 else places[:0]
+                    seen[0][n, k] |= len(equal) > 0
+                    seen[1][n, equal] = True
+            for s, marks in zip("xy", seen):
+                some = np.flatnonzero(marks[0])
+                yield {"unit": [row[f"{s}_id"][k] for k in some], "same_before": marks[1, some], "same_after": marks[2, some]}
+
+    found = arrow(_code_pairs(units, unit, code, [before, after]), make, f"unit {kind}, same_before boolean, same_after boolean")
+    return found.groupBy("unit").agg(F.max("same_before").alias("same_before"), F.max("same_after").alias("same_after"))

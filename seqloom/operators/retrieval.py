@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions import distances
+from seqloom.operators import blocks
 from seqloom.operators.components import connected_components
+from seqloom.runtime import cut
 
 
 def grams(tokens: Column, n: int = 3) -> Column:
@@ -125,45 +127,29 @@ def better_label(costs: DataFrame, key: str, label: str, least_gain: float = 0.1
     return best.select(key, label, F.when(good, F.col("other.candidate")).alias("suggestion"))
 
 
-def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float, limit: int = 128) -> DataFrame:
+def confusable_pairs(units: DataFrame, unit: str, code: str, tau: float) -> DataFrame:
     """(a, b, dist), a < b: units whose distance is at most floor(tau * max length).
 
-    A pair's lengths differ by no more than its distance allows, so units are dealt into length buckets of
-    geometric width, and each meets its own bucket and the next one by an equi join. A bucket of over ``limit`` units is
-    cut into chunks, each of which is a join key of its own. Distances are computed for a batch of pairs at a time.
-    """
-    u = units.select(F.col(unit).alias("id"), F.col(code).alias("code"), F.length(code).alias("len")).where("len > 0")
-    step = 1.0 / (1.0 - tau)
-    u = u.withColumn("bucket", F.floor(F.log(F.col("len").cast("double")) / F.log(F.lit(step)) + 1e-9))
-    sizes = u.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(limit)).cast("int").alias("chunks"))  # a row for each power of a length
-    left = u.withColumn("meets", F.explode(F.array("bucket", F.col("bucket") + 1))).join(F.broadcast(sizes.withColumnRenamed("bucket", "meets")), "meets")
-    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    right = u.join(F.broadcast(sizes), "bucket").select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("len").alias("len2"), F.col("bucket").alias("meets"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-    if units.count() <= LEXICON_ROWS:  # checked size; beyond it both sides are dealt by bucket and chunk
-        right = F.broadcast(right)
-    pairs = spread(left, "meets", "chunk", "id").join(right, ["meets", "chunk"]).where((F.col("len") <= F.col("len2")) & (F.col("id") != F.col("id2")))
-    cutoff = F.floor(F.lit(tau) * F.col("len2")).cast("int")
-    near = pairs.withColumn("cutoff", cutoff).where(F.col("len2") - F.col("len") <= F.col("cutoff"))
-    near = near.withColumn("dist", distances.levenshtein_letters(F.col("code"), F.col("code2"))).where("dist <= cutoff")
-    return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), "dist").distinct()
-
-
-def confusable_components(pairs: DataFrame) -> DataFrame:
-    return connected_components(pairs.select("a", "b"))
-
-
-def resolvable(pairs: DataFrame, chain: DataFrame) -> DataFrame:
+    Units are dealt into blocks in order of length, and each pair of blocks is compared once, a code against a block at a
+    time (``functions.bits.Codes``): a pair's lengths differ by no more than its distance allows, and of its edit table only a band of
+    diagonals is computed. A row is made for a pair that is found."""
+    return blocks.look_alikes(units, unit, code, tau)
+
+
+def confusable_components(units: DataFrame, unit: str, code: str, tau: float) -> DataFrame:
+    """(node, component) over ``confusable_pairs``, of which only links that span a pair of blocks' components are kept."""
+    return connected_components(blocks.look_alike_links(units, unit, code, tau))
+
+
+def resolvable(units: DataFrame, unit: str, code: str, tau: float, chain: DataFrame) -> DataFrame:
     """(unit, kind): whether neighbours tell an ambiguous unit from its look-alikes: both, pred, succ or none.
 
-    ``chain``: (unit, before, after). A side helps if the unit has a neighbour there that is not ambiguous itself and that no
-    look-alike shares.
-    """
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ambiguous = both.select("a").distinct()
-    sure = chain.join(ambiguous.select(F.col("a").alias("before"), F.lit(True).alias("before_twin")), "before", "left").join(ambiguous.select(F.col("a").alias("after"), F.lit(True).alias("after_twin")), "after", "left")
-    mine = both.join(sure.select(F.col("unit").alias("a"), F.col("before").alias("p"), F.col("after").alias("s"), "before_twin", "after_twin"), "a")
-    t = mine.join(chain.select(F.col("unit").alias("b"), F.col("before").alias("p2"), F.col("after").alias("s2")), "b")
-    helps = lambda x, y, z: F.bool_and(F.col(x).isNotNull() & ~F.col(x).eqNullSafe(F.col(y)) & F.col(z).isNull())
-    sides = t.groupBy(F.col("a").alias("unit")).agg(helps("p", "p2", "before_twin").alias("pred"), helps("s", "s2", "after_twin").alias("succ"))
-    kind = F.when(F.col("pred") & F.col("succ"), "both").when(F.col("pred"), "pred").when(F.col("succ"), "succ").otherwise("none")
-    return sides.select("unit", kind.alias("kind"))
+    ``chain``: (unit, before, after), one row a unit. A side helps if the unit has a neighbour there that is not ambiguous itself and that no
+    look-alike shares."""
+    held = units.select(F.col(unit).alias("unit"), F.col(code).alias("code")).join(chain.select("unit", "before", "after"), "unit")
+    found = cut(blocks.look_alike_neighbours(held, "unit", "code", tau, "before", "after"))  # a row a unit, read three times
+    twin = lambda side: found.select(F.col("unit").alias(side), F.lit(True).alias(f"{side}_twin"))
+    t = found.join(chain.select("unit", "before", "after"), "unit").join(twin("before"), "before", "left").join(twin("after"), "after", "left")
+    helps = lambda side: F.col(side).isNotNull() & ~F.col(f"same_{side}") & F.col(f"{side}_twin").isNull()
+    kind = F.when(helps("before") & helps("after"), "both").when(helps("before"), "pred").when(helps("after"), "succ").otherwise("none")
+    return t.select("unit", kind.alias("kind"))

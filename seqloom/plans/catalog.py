@@ -527,21 +527,21 @@ _UNITS = f"SELECT user_id AS id, string_agg(tok, '' ORDER BY i) AS code FROM ({_
 _NEAR = f"SELECT a.id AS a, b.id AS b, levenshtein(a.code, b.code) AS dist FROM ({_UNITS}) a JOIN ({_UNITS}) b ON a.id < b.id WHERE levenshtein(a.code, b.code) <= floor(0.53::DOUBLE * greatest(length(a.code), length(b.code)))"
 
 
-def _near(spark, d):
-    units = _numbered(spark, d).groupBy(F.col("user_id").alias("id")).agg(_joined("tok").alias("code"))
-    return retrieval.confusable_pairs(units, "id", "code", 0.53)
+def _codes(spark, d):
+    """Whole streams as units: their id and code, and the share of the longer one's length that look-alikes may differ by."""
+    return _numbered(spark, d).groupBy(F.col("user_id").alias("id")).agg(_joined("tok").alias("code")), "id", "code", 0.53
 
 
 @query(_NEAR)
 def confusable_pairs(spark, d):
     """Look-alike units by a length-bucketed join."""
-    return _near(spark, d)
+    return retrieval.confusable_pairs(*_codes(spark, d))
 
 
 @query(f"WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})), r(node, seen) AS (SELECT a, a FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON r.node = e.a) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def confusable_components(spark, d):
     """Components of the look-alike graph."""
-    return retrieval.confusable_components(_near(spark, d))
+    return retrieval.confusable_components(*_codes(spark, d))
 
 
 _CHAIN = "SELECT unit, lag(unit) OVER w AS before, lead(unit) OVER w AS after FROM (SELECT DISTINCT user_id AS unit FROM events) WINDOW w AS (PARTITION BY unit % 10 ORDER BY unit)"
@@ -557,7 +557,7 @@ def neighbor_resolution(spark, d):
     """Which neighbours tell look-alikes apart."""
     users = table(spark, d, "events").select((F.col("user_id") % 10).alias("g"), F.col("user_id").alias("unit")).distinct()
     chain = windows.neighbours(users, "g", ["unit"], "unit").select("unit", "before", "after")
-    return retrieval.resolvable(_near(spark, d), chain)
+    return retrieval.resolvable(*_codes(spark, d), chain)
 
 
 @query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -569,7 +569,7 @@ def ordered_concat(spark, d):
 @query(f"WITH RECURSIVE e AS (SELECT a, b FROM ({_NEAR}) UNION SELECT b, a FROM ({_NEAR})), r(node, seen) AS (SELECT a, a FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON r.node = e.a), c AS (SELECT node, min(seen) AS component FROM r GROUP BY node) SELECT component, count(*) AS size, string_agg(node::VARCHAR, ',' ORDER BY node) AS members, row_number() OVER (ORDER BY count(*) DESC, component) AS place FROM c GROUP BY component")
 def component_order(spark, d):
     """Components by size, then by their first unit; members in order."""
-    parts = retrieval.confusable_components(_near(spark, d)).groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
+    parts = retrieval.confusable_components(*_codes(spark, d)).groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda x: x.cast("string")), ",").alias("members"))
     return parts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "component")))  # a report, one row a component
 
 
