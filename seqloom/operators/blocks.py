@@ -232,3 +232,82 @@ def look_alike_neighbours(units: DataFrame, unit: str, code: str, tau: float, be
 
     found = arrow(_code_pairs(units, unit, code, [before, after]), make, f"unit {kind}, same_before boolean, same_after boolean")
     return found.groupBy("unit").agg(F.max("same_before").alias("same_before"), F.max("same_after").alias("same_after"))
+
+
+class GramIndex:
+    """The grams of a block of units, which lie in their order: the places of a gram's units, or a mark for every unit where these are many."""
+
+    def __init__(self, grams: pa.ListArray):
+        flat, self.n = grams.flatten().dictionary_encode(), len(grams)
+        of = np.repeat(np.arange(self.n), np.diff(grams.offsets.to_numpy()))
+        codes = flat.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        edges = np.searchsorted(codes[order], np.arange(len(flat.dictionary) + 1))
+        self.places = {g: of[order[a:b]] for g, a, b in zip(flat.dictionary.to_pylist(), edges, edges[1:])}
+        self.marks: dict[str, np.ndarray] = {}
+
+    def add(self, gram: str, to: np.ndarray) -> None:
+        """Sets ``to`` where a unit has the gram."""
+        places = self.places.get(gram)
+        if places is None:
+            return
+        if 16 * len(places) < self.n:
+            to[places] = True
+            return
+        if gram not in self.marks:
+            self.marks[gram] = np.zeros(self.n, bool)
+            self.marks[gram][places] = True
+        np.logical_or(to, self.marks[gram], out=to)
+
+    def hits(self, slots: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many positions hit each unit, the first of these), for the grams of every position."""
+        kind = np.uint8 if len(slots) < 256 else np.int32
+        count, left, one = np.zeros(self.n, kind), np.zeros(self.n, kind), np.empty(self.n, bool)
+        for k, slot in enumerate(slots):
+            one[:] = False
+            for gram in slot:
+                self.add(gram, one)
+            np.add(count, one.view(np.uint8), out=count)
+            np.maximum(left, one.view(np.uint8) * kind(len(slots) - k), out=left)
+        return count, len(slots) - left.astype(np.int64)
+
+
+def _gram_pairs(windows: DataFrame, index: DataFrame, lengths: DataFrame | None) -> DataFrame:
+    """Pairs of blocks of windows (window, slots) and of units (unit, grams) of a length, in the order of ``lengths``."""
+    held = index.groupBy("unit").agg(F.collect_list("gram").alias("grams"))
+    held = held.withColumn("len", F.lit(0)) if lengths is None else held.join(lengths.select("unit", F.col("len").cast("int").alias("len"), "unit_ord"), "unit")
+    count = held.count()
+    u = held.repartition(max(1, ceil(count / INDEXED)), "unit").sortWithinPartitions("len", *(["unit_ord"] if lengths is not None else []), "unit")
+    u = packed(u, INDEXED, "len")
+    w = packed(windows.repartition(_cores(windows), "window"), 4 * WINDOWS)
+    return w.crossJoin(F.broadcast(u) if count <= LEXICON_ROWS else u)
+
+
+def gram_hits(windows: DataFrame, index: DataFrame, lengths: DataFrame | None = None, best: int | None = None) -> DataFrame:
+    """(window, unit, cnt, first_pos): windows' positions of which a gram occurs in the unit, for ``windows`` (window, slots: the grams of each position).
+
+    With ``best`` only units that can be among the ``best`` of a window by count, or by count over length, ties by first position and
+    ``unit_ord``: as many of every length and block, since both orders are one within a length."""
+    kinds = dict(windows.dtypes) | {"unit": dict(index.dtypes)["unit"]}
+
+    def make(batch: pa.RecordBatch):
+        for row in range(batch.num_rows):
+            keys, slots, units = (batch.column(c)[row].as_py() for c in ("window", "slots", "unit"))
+            held, units = GramIndex(batch.column("grams")[row].values), np.array(units)
+            out, rows = [], 0
+            for key, slot in zip(keys, slots):
+                count, first = held.hits(slot)
+                if best is None:
+                    places = np.flatnonzero(count)
+                else:
+                    score = count.astype(np.int32) * (len(slot) + 1) + (len(slot) - first)
+                    places = np.array(nearest(-score, min(best, int(np.count_nonzero(count)))) if count.any() else [], dtype=np.int64)
+                out.append((np.repeat(np.array([key]), len(places)), units[places], count[places].astype(np.int64), first[places]))
+                rows += len(places)
+                if rows > 100_000:
+                    yield dict(zip(("window", "unit", "cnt", "first_pos"), map(np.concatenate, zip(*out))))
+                    out, rows = [], 0
+            if rows:
+                yield dict(zip(("window", "unit", "cnt", "first_pos"), map(np.concatenate, zip(*out))))
+
+    return arrow(_gram_pairs(windows, index, lengths), make, f"window {kinds['window']}, unit {kinds['unit']}, cnt bigint, first_pos int")

@@ -34,13 +34,26 @@ def expanded_counts(windows: DataFrame, window: str, tokens: str, seconds: str,
 
     A position counts once for a unit, however many of its up to 2 ** n n-grams occur there.
     """
-    slots = windows.select(F.col(window).alias("window"), F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(seconds).alias("u")), lambda x: F.array_compact(F.array(x["t"], x["u"]))).alias("slots"))
-    probes = slots.select("window", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("slots") - n + 1)), lambda i: F.slice("slots", i, n))).alias("pos", "part")).where(F.size("part") == n)
-    for k in range(n):
-        probes = probes.withColumn(f"g{k}", F.explode(F.col("part")[k]))
-    probes = probes.select("window", "pos", F.concat_ws(" ", *[f"g{k}" for k in range(n)]).alias("gram")).distinct()
-    hits = probes.join(index, "gram").select("window", "pos", "unit").distinct()
-    return hits.groupBy("window", "unit").agg(F.count("*").alias("cnt"), F.min("pos").alias("first_pos"))
+    slots = windows.select(F.col(window).alias("window"), F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col(seconds).alias("u")), lambda x: F.array_compact(F.array(x["t"], x["u"]))).alias("s"))
+    last = F.size("s") - n + 1
+
+    def crossed(left, right):
+        return F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.concat_ws(" ", x, y))))
+
+    def at(i):
+        found = F.element_at("s", i.cast("int"))
+        for k in range(1, n):
+            found = crossed(found, F.element_at("s", (i + k).cast("int")))
+        return F.array_distinct(found)
+
+    places = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), at))
+    return blocks.gram_hits(slots.where(last >= 1).select("window", places.alias("slots")), index)
+
+
+def gram_shortlist(windows: DataFrame, window: str, tokens: str, index: DataFrame, lengths: DataFrame, n: int = 3, raw: int = 60, scaled: int = 20) -> DataFrame:
+    """``shortlist`` of ``gram_counts`` that makes no row for a pair of a window and a unit out of reach of both rankings."""
+    slots = windows.select(F.col(window).alias("window"), F.transform(grams(F.col(tokens), n), lambda g: F.array(g)).alias("slots")).where("size(slots) > 0")
+    return shortlist(blocks.gram_hits(slots, index, lengths, max(raw, scaled)), lengths, raw, scaled)
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:

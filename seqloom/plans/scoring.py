@@ -36,11 +36,12 @@ def _units(spark, d):
 def shortlisted(spark, d):
     """(window, win, unit, ref, place): the candidates of every trailing window by shared 3-grams."""
     w, u = _windows(spark, d), _units(spark, d)
+    near = F.broadcast(u) if u.count() <= retrieval.LEXICON_ROWS else u  # checked size: candidates are then shuffled by window only
     index = retrieval.postings(u.select("unit", letters("ref").alias("w")), "unit", "w")
-    counts = retrieval.gram_counts(w.select("user_id", letters("win").alias("w")), "user_id", "w", index)
-    short = retrieval.shortlist(counts, u.select("unit", F.length("ref").alias("len"), F.col("unit").alias("unit_ord")))
+    lengths = near.select("unit", F.length("ref").alias("len"), F.col("unit").alias("unit_ord"))
+    short = retrieval.gram_shortlist(w.select("user_id", letters("win").alias("w")), "user_id", "w", index, lengths)
     place = F.when(F.col("raw_rank") <= 60, F.col("raw_rank")).otherwise(60 + F.col("scaled_rank"))
-    return short.select("window", "unit", place.alias("place")).join(u, "unit").join(w.withColumnRenamed("user_id", "window"), "window")
+    return short.select("window", "unit", place.alias("place")).join(near, "unit").join(w.withColumnRenamed("user_id", "window"), "window")
 
 
 @query(f"""
